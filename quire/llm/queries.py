@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import topk
+from quire.llm import exact, mixing, shards, topk
 from quire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,53 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.7)
+
+
+ORACLES["op2_poisson_mixing"] = f"""
+WITH m AS (
+  SELECT source, CAST(sum(length(coalesce(text, '')) + 1) AS DOUBLE) AS mass FROM documents GROUP BY source
+), r AS (
+  SELECT source, pow(mass, 0.7) / (SELECT sum(pow(mass, 0.7)) FROM m) * (SELECT sum(mass) FROM m) / mass AS rate FROM m
+), k AS (
+  SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 24) AS BIGINT) + 1)) AS k FROM r
+), c AS (
+  SELECT source, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k
+), l AS (
+  SELECT source, list(cdf) AS cdf FROM c GROUP BY source
+), d AS (
+  SELECT d.*, len([x for x in cdf if x <= CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0]) AS copies
+  FROM documents d JOIN l ON d.source IS NOT DISTINCT FROM l.source
+), e AS (
+  SELECT *, unnest(range(1, copies + 1)) AS copy FROM d
+)
+SELECT doc_id, text, lang, source, n_chars, CAST(copies AS INTEGER) AS copies, CAST(copy AS INTEGER) AS copy,
+       md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(copy AS VARCHAR)) AS mix_key
+FROM e
+"""
+
+
+@query
+def op7_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_lsm_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+
+@query
+def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
