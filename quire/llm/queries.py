@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact, mixing, shards, topk
+from quire.llm import bpe, exact, mixing, shards, simhash, topk, warc
 from quire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,26 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the vocabulary files lie; they belong to a package of their own."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(docs, tokenizer_file("word_bpe_49k.json")).drop("text")
+
+
+@query
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
