@@ -69,3 +69,14 @@ def clashing(df: DataFrame, names: list[str]) -> DataFrame:
 def text_of(df: DataFrame):
     """The text column, null as the empty text."""
     return F.coalesce(df["text"], F.lit(""))
+
+
+_MADE: dict[str, object] = {}
+
+
+def once(key: str, make):
+    """make()'s result, the same for all tasks of a worker that ask by this key; of a worker's results one is kept."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = make()
+    return _MADE[key]
