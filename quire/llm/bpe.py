@@ -261,16 +261,28 @@ def decode(df: DataFrame, path: str) -> DataFrame:
     return _with(df, {"decoded": StringType()}, make)
 
 
-def digests(df: DataFrame, path: str) -> DataFrame:
-    """df with n_tokens and the SHA-256 of ids and of the decoded text: encode() and decode() without moving either."""
+def tokenized(df: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+    """df with ids (unless left out), n_tokens and the SHA-256 of ids and of the text they decode to, which is not moved."""
 
     def make(batch):
-        bpe, n, of_ids, of_text = loaded(path), [], [], []
+        bpe, all_ids, sizes, of_ids, of_text = loaded(path), [], [0], [], []
         for text in batch.column("text").to_pylist():
             packed = bpe.encode(text or "")
-            n.append(len(packed) // 4)
+            sizes.append(len(packed) // 4)
             of_ids.append(hashlib.sha256(packed).hexdigest())
             of_text.append(hashlib.sha256(bpe.decode(np.frombuffer(packed, "<u4"))).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            if with_ids:
+                all_ids.append(packed)
+        out = [pa.array(sizes[1:], pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        if with_ids:
+            ids = pa.array(np.frombuffer(b"".join(all_ids), "<i4"), pa.int32())
+            out.insert(0, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), ids))
+        return out
+
+    ids = {"ids": ArrayType(IntegerType())} if with_ids else {}
+    return _with(df, ids | {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}, make)
 
-    return _with(df, {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}, make)
+
+def digests(df: DataFrame, path: str) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256: encode() and decode() without moving either."""
+    return tokenized(df, path, with_ids=False)

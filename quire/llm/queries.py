@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact, langid, mixing, shards, simhash, topk, toxicity, warc
+from quire.llm import bpe, exact, langid, mixing, shards, simhash, tokenfile, topk, toxicity, warc
 from quire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ def op6_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_context_mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
