@@ -25,6 +25,8 @@ from quire.llm.common import ASCII_SPACE, clashing, small_batches, text_of, writ
 FLUSH_ROWS = 65_536
 FAN_IN = 4
 SHARD_ROWS = 250_000
+#: The largest filter that is sent to all tasks.
+FILTER_BYTES = 32 << 20
 _FIELDS = ("cp", "null", "doc", "row", "n")
 _ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -142,17 +144,40 @@ def _groups(rows: DataFrame, flush_rows: int) -> DataFrame:
     return written(merged.where("n > 1").select(F.col("key").alias("_key"), keep.alias("keep_id"), F.col("row").alias("_keep_row"), F.col("n").alias("group_size")), "exact-groups")
 
 
+def _may_hit(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose key a Bloom filter of the groups' keys may hold, if the filter fits FILTER_BYTES; else all rows."""
+    n = groups.count()
+    bits = 1 << max(10, int(16 * n).bit_length())
+    if bits // 8 > FILTER_BYTES:
+        return rows
+    places = lambda key: F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(4)])
+    words = groups.select(F.explode(places(F.col("_key"))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("set"))
+    held = np.zeros(bits // 64, np.int64)
+    for r in words.collect():  # bits / 64 rows at most
+        held[r["word"]] = r["set"]
+
+    @F.pandas_udf("boolean")
+    def may_hold(at):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        at = np.stack(at.to_numpy()) if len(at) else np.zeros((0, 4), np.int64)
+        return pd.Series((held[at >> 6] >> (at & 63) & 1).astype(bool).all(axis=1))
+
+    return rows.where(may_hold(places(F.col("_key"))))
+
+
 def _assigned(df: DataFrame, flush_rows: int, digest_bytes: int) -> tuple[DataFrame, DataFrame]:
     """The numbered rows, and for each its _row, doc_id, _sha and the added columns."""
     small_batches(df.sparkSession)
     rows = _numbered(df, digest_bytes)
     groups = _groups(rows, flush_rows)
-    looked_up = rows.select("_row", "doc_id", "_sha", "_key").join(groups, "_key", "left")
+    # merge joins at every size: what is exchanged is in proportion to the input, and a hot key can be split
+    looked_up = rows.select("_row", "doc_id", "_sha", "_key").join(groups.hint("merge"), "_key", "left")
     # hits: the bytes decide
-    hits = rows.select("_row", "_key", "text").join(groups, "_key")
-    stays = hits.where(F.col("_row") == F.col("_keep_row")).select("_key", normalised(text_of(hits)).alias("_bytes"))
-    others = hits.where(F.col("_row") != F.col("_keep_row"))
-    false_hits = written(others.join(stays, "_key").where(normalised(F.coalesce(others["text"], F.lit(""))) != F.col("_bytes")).select("_key").distinct(), "exact-false")
+    hits = written(_may_hit(rows.select("_row", "_key", normalised(text_of(rows)).alias("_bytes")), groups).join(groups.hint("merge"), "_key"), "exact-hits")
+    stays = hits.where(F.col("_row") == F.col("_keep_row")).select("_key", F.col("_bytes").alias("_kept_bytes"))
+    others = hits.where(F.col("_row") != F.col("_keep_row")).select("_key", "_bytes")
+    false_hits = written(others.join(stays.hint("merge"), "_key").where("_bytes <> _kept_bytes").select("_key").distinct(), "exact-false")
     if not false_hits.isEmpty():
         # groups of rows whose keys are equal and whose bytes are not: by their bytes
         wrong = rows.join(false_hits, "_key", "left_semi").select("_key", "_row", "doc_id", "_cp", normalised(text_of(rows)).alias("_bytes"))
