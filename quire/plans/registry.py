@@ -20,3 +20,6 @@ def query(oracle: str | None = None):
         return function
 
     return register
+
+
+from quire.plans import documents, events, geometry, layouts, pages  # noqa: E402, F401  (they register their queries)

@@ -1 +1 @@
-""""""
+"""Operators over growing inputs."""
