@@ -177,7 +177,8 @@ def _assigned(df: DataFrame, flush_rows: int, digest_bytes: int) -> tuple[DataFr
     hits = written(_may_hit(rows.select("_row", "_key", normalised(text_of(rows)).alias("_bytes")), groups).join(groups.hint("merge"), "_key"), "exact-hits")
     stays = hits.where(F.col("_row") == F.col("_keep_row")).select("_key", F.col("_bytes").alias("_kept_bytes"))
     others = hits.where(F.col("_row") != F.col("_keep_row")).select("_key", "_bytes")
-    false_hits = written(others.join(stays.hint("merge"), "_key").where("_bytes <> _kept_bytes").select("_key").distinct(), "exact-false")
+    # nothing after the join asks for a key's rows to stay together, so a hot key's can be split
+    false_hits = written(others.join(stays.hint("merge"), "_key").where("_bytes <> _kept_bytes").select("_key"), "exact-false").distinct()
     if not false_hits.isEmpty():
         # groups of rows whose keys are equal and whose bytes are not: by their bytes
         wrong = rows.join(false_hits, "_key", "left_semi").select("_key", "_row", "doc_id", "_cp", normalised(text_of(rows)).alias("_bytes"))
