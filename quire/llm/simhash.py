@@ -175,7 +175,8 @@ def linked(df: DataFrame, words: int = 3) -> DataFrame:
     of = of.unionByName(nodes.join(roots.select(F.col("root").alias("fp")).distinct(), "fp").select("fp", F.col("fp").alias("root"), "doc"))
     least = of.groupBy("root").agg(F.min("doc").alias("component_id"))
     component = of.join(least, "root").select("fp", "component_id")
-    alone = nodes.join(component, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id"))
+    # as a table, so that the join below exchanges both of its sides and the rows of a hot fingerprint can be split
+    alone = written(nodes.join(component, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id")), "simhash-components")
     return clashing(rows, ["component_id"]).join(alone, "fp")
 
 
