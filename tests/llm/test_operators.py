@@ -259,6 +259,30 @@ def test_toxicity_of_held_out_rows(spark):
     assert all((r["predicted"] == 1) == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in scored)
 
 
+def test_toxicity_lexicon_is_of_whole_counts(spark):
+    """Words counted over many small partitions, in each of which a clean one hardly occurs twice."""
+    texts = [(i, f"vile word{i % 7} " + ("ananas" if i < 12 else "plain"), 1) for i in range(40)]
+    texts += [(i, f"calm word{i % 7} " + ("ananas" if i < 226 else "plain"), 0) for i in range(200, 600)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in texts], "doc_id long, toxic int")
+    found = {1: Counter(), 0: Counter()}
+    kinds = Counter()
+    for i, text, kind in texts:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            kinds[kind] += 1
+            found[kind].update({f for p in text.split() for f in toxicity.features(p)})
+    wanted = {f for f, n in found[1].items() if n >= 2 and (n + 0.5) / (kinds[1] + 1) >= 6 * (found[0][f] + 0.5) / (kinds[0] + 1)}
+    common = {f for k in found for f in found[k] if not f.endswith("*")}
+    assert "vile" in wanted and "anan*" not in wanted and found[0]["anan*"] > 15
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # each file of the sample is a partition
+    try:
+        model = toxicity.learn(df.repartition(40), labels)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert set(model.weights) == wanted | common
+
+
 def test_spans_of_mixed_text(spark):
     train = [(i, t, l, "s", 1) for i in range(60) for t, l in (("the cat sat on the mat with those things", "en"), ("это простой текст на языке", "ru"))]
     model = langid.learn(spark.createDataFrame(train, SCHEMA))
