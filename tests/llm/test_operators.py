@@ -14,7 +14,8 @@ import xxhash
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from quire.llm import bpe, exact, langid, mixing, shards, simhash, tokenfile, topk, toxicity, warc  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from quire.llm import bpe, exact, langid, mixing, shards, simhash, similar, tokenfile, topk, toxicity, warc  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -136,6 +137,39 @@ def test_links_of_close_fingerprints(spark, group):
     assert sorted(map(sorted, got.values())) == sorted(sorted(w) for w in wanted.values() if len(w) > 1)
 
 
+def sets_of(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    """By all pairs of sets; copies of 100 to 300 words with edits, around 0.8 on both sides, and a large group in tiles."""
+    draw = np.random.default_rng(3)
+    texts = []
+    for n in [100, 200, 300] * 12 + [120]:
+        base = [f"w{x}" for x in draw.integers(5000, size=n)]
+        texts.append(" ".join(base))
+        for edits in ([1, 2, 3, 4, 6, 9] if n != 120 else [3] * 60):
+            copy = list(base)
+            for at in draw.integers(n, size=edits):
+                copy[at] = f"x{draw.integers(5000)}"
+            texts.append(" ".join(copy))
+    texts += ["", None, " ", "one two", "ONE  two"]
+    order = draw.permutation(len(texts)).tolist()
+    df = spark.createDataFrame([(i, texts[at], "en", "s", 1) for i, at in enumerate(order)], SCHEMA).repartition(3)
+    sets = [sets_of(texts[at]) for at in order]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r["doc_id"] for r in stage(spark, df, "").collect()) == sorted(set(root))
+    assert sorted(r["doc_id"] for r in similar.similar_dedup(df, room=7).collect()) == sorted(set(root))
+    assert similar.similar_dedup(df.limit(0)).count() == 0
+
+
 # --- tokens
 
 
