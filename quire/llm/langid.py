@@ -6,7 +6,8 @@ other languages lose DEFEAT. The most probable sequence of languages, in which e
 word, so a text of several languages falls into spans. A text's language is the one of most letters.
 
 The Viterbi search is left out only where its result is known: if no stretch of words favours any other language over
-the best single one by as much as a change costs, that one labels all words. Scores of words are kept in a table of
+the best single one by more than half of what a change costs, that one labels all words, for a path of m changes has
+m + 1 stretches at most. Scores of words are kept in a table of
 bounded size.
 
 Learning takes at most SAMPLE documents of each language, chosen by a hash of doc_id, of those with a lang and not held
@@ -102,7 +103,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     lowest = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
     lowest = np.concatenate([np.zeros((1, scores.shape[1])), lowest[:-1]])  # before the stretch
-    if (gain - lowest).max() <= switch:  # no stretch of another language pays for a change
+    if (gain - lowest).max() <= switch / 2:  # m changes make m + 1 stretches at most: none pays for its changes
         return np.full(len(scores), best)
     n, k = scores.shape
     back = []

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -317,6 +318,16 @@ def test_toxicity_lexicon_is_of_whole_counts(spark):
     assert set(model.weights) == wanted | common
 
 
+def test_viterbi_against_all_paths():
+    """Where two changes' gains share one cost, too; scores are whole numbers, so totals compare exactly."""
+    draw = np.random.default_rng(4)
+    cases = [np.array([[-5, 0, -20]] * 2 + [[-5, -20, 0]] * 2, float)]
+    cases += [-draw.integers(0, 13, (int(draw.integers(1, 7)), 3)).astype(float) for _ in range(300)]
+    for scores in cases:
+        value = lambda path: sum(scores[i, j] for i, j in enumerate(path)) - 12 * sum(a != b for a, b in zip(path, path[1:], strict=False))  # noqa: B023, E731
+        assert value(langid.viterbi(scores, 12.0).tolist()) == max(map(value, itertools.product(range(3), repeat=len(scores))))
+
+
 def test_spans_of_mixed_text(spark):
     train = [(i, t, l, "s", 1) for i in range(60) for t, l in (("the cat sat on the mat with those things", "en"), ("это простой текст на языке", "ru"))]
     model = langid.learn(spark.createDataFrame(train, SCHEMA))
