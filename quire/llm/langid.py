@@ -238,8 +238,8 @@ def identify(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return label(clashing(df, ["held_out"]), model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-def keep_identified(df: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of df whose language is known with a score of at least `least`, with df's columns."""
+def keep_identified(df: DataFrame, least: float = 0.0, sample: int = SAMPLE) -> DataFrame:
+    """The rows of df whose language is known, of several languages too, with df's columns; those below a score of `least` go."""
     # under names of its own, so that columns of df that are called so stay
     text = df.select("doc_id", "text", "lang")
     model = learn(text, sample)

@@ -328,6 +328,17 @@ def test_viterbi_against_all_paths():
         assert value(langid.viterbi(scores, 12.0).tolist()) == max(map(value, itertools.product(range(3), repeat=len(scores))))
 
 
+def test_mixed_documents_stay(spark):
+    """A text of three languages, none of which has half of its letters; only texts without letters go."""
+    of = {"en": "the cat sat on the mat with those things", "ru": "это простой текст на языке", "el": "αυτό είναι ένα απλό κείμενο"}
+    docs = [(3 * i + n, t, lang, "s", 1) for i in range(60) for n, (lang, t) in enumerate(of.items())]
+    odd = [(1000, " ".join(t for t in of.values() for _ in range(4)), None, "s", 1), (1001, "12 !!", None, "s", 1), (1002, "a", None, "s", 1)]
+    df = spark.createDataFrame(docs + odd, SCHEMA)
+    score = {r["doc_id"]: r["score"] for r in langid.identify(df).where("doc_id >= 1000").collect()}
+    assert 0 < score[1000] < 0.5
+    assert sorted(r["doc_id"] for r in langid.keep_identified(df).collect()) == [*range(180), 1000, 1002]
+
+
 def test_spans_of_mixed_text(spark):
     train = [(i, t, l, "s", 1) for i in range(60) for t, l in (("the cat sat on the mat with those things", "en"), ("это простой текст на языке", "ru"))]
     model = langid.learn(spark.createDataFrame(train, SCHEMA))
