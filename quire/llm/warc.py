@@ -252,9 +252,9 @@ def convert(archives: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "date")
     first = known.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = known.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
-    later = later.select(F.col("page_id").alias("_page"), F.col("first.page_id").alias("of_page"), F.col("first.url").alias("of_url"), F.col("first.date").alias("of_date")).dropDuplicates(["_page"])
+    later = later.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("first.page_id").alias("of_page"), F.col("first.url").alias("of_url"), F.col("first.date").alias("of_date")).dropDuplicates(["_page", "_digest"])
     records = arc_records(archives)
-    joined = records.join(later, records["page_id"].eqNullSafe(later["_page"]), "left").select("page_id", "url", "date", "head", "payload", "digest", F.col("_page").isNotNull().alias("again"), "of_page", "of_url", "of_date")
+    joined = records.join(later, (records["digest"] == later["_digest"]) & records["page_id"].eqNullSafe(later["_page"]), "left").select("page_id", "url", "date", "head", "payload", "digest", F.col("_digest").isNotNull().alias("again"), "of_page", "of_url", "of_date")
 
     def write(batches):
         store, path = _store(folder)

@@ -218,6 +218,16 @@ def test_pages_through_archives(spark):
     assert {r["record_type"] for r in warc.archive_pages(df, min_bytes=1_000_000).collect()} == {"response"}
 
 
+def test_revisits_have_their_own_payload(spark):
+    """Rows that share a page_id, or have none: only those whose payload another page has are revisits, of that page."""
+    pages = [(1, "http://a", "x"), (2, "http://b", "x"), (2, "http://c", "y"), (3, "http://d", "z"), (None, "http://e", "x"), (None, "http://f", "w")]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, record_type string")
+    digest = lambda body: base64.b32encode(hashlib.sha1(body.encode()).digest()).decode()
+    wanted = [(page, digest(html), "revisit" if html == "x" and page != 1 else "response", 1 if html == "x" and page != 1 else None) for page, _, html in pages]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(rows(warc.archive_pages(df), "page_id", "payload_digest", "record_type", "refers_to"), key=key) == sorted(wanted, key=key)
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     made = [warc.ArcRecord("http://a", "1.2.3.4", "20200102030405", "text/html", 200, b"line\nother\n"), warc.ArcRecord("http://b", "1.2.3.4", "2020", "text/plain", 200, b"")]
