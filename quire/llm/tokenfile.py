@@ -12,7 +12,8 @@ order of doc_id and may span blocks. Files are written to the shared folder unde
 files that the tasks return says which of them count.
 
 Texts are encoded by the tokenizers library. Its splitting pattern never looks back past a blank that follows something
-else, so texts are cut there, and the ids of pieces that come again are kept in a table of bounded size.
+else, nor past a sign that follows a letter, so texts are cut there; the distinct pieces of many texts go to the library
+together, and the ids of those that come again are kept in a table of bounded size.
 
 Cases: null text counts as empty, and a document of no ids still has its end id; a null doc_id sorts first; rows that
 repeat a doc_id follow each other in the order of their texts; an empty table gives no files and an empty result; other
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +42,14 @@ from quire.llm.common import new_path, small_batches, written
 
 BLOCK = 1 << 19
 STEPS = 256  # of a lane, at most
-KEPT_PIECES = 300_000
+KEPT_PIECES = 400_000
+#: Texts are encoded together up to so many characters; a longer one alone.
+GROUP_CHARACTERS = 1 << 22
+_BLANK = "\u0120"  # stands for a blank in byte-level vocabularies
 _MAGIC = b"QTOKENS1"
 _BASE = 18  # bits of the order-0 distribution
 _MIX = 6  # bits of the mixture
 _SLOTS = 1 << 18  # of order 2
-_UP, _DOWN = np.array([1, 2, 3, 3]), np.array([0, 0, 1, 2])
 
 
 class DamagedFile(ValueError):
@@ -63,6 +67,7 @@ class Mixture:
         # predicted id * 4 + confidence
         self.one, self.two = np.zeros(size, np.int64), np.zeros(_SLOTS, np.int64)
         self.right = np.tile(np.array([1.0, 1.0, 6.0]), (16, 1))
+        self.outcomes: list[np.ndarray] = []
         self._base()
         self._shares()
 
@@ -71,48 +76,64 @@ class Mixture:
         room = (1 << _BASE) - self.size
         self.freq = 1 + (self.counts * room // max(1, total))
         self.freq[0] += (1 << _BASE) - int(self.freq.sum())
-        self.end = np.cumsum(self.freq)
-        self.begin = self.end - self.freq
+        self.begin = np.cumsum(self.freq) - self.freq
+        self.of_place: np.ndarray | None = None
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose intervals of the order-0 distribution hold these places."""
+        if self.of_place is None:
+            self.of_place = np.repeat(np.arange(self.size, dtype=np.int32), self.freq)
+        return self.of_place.take(place)
 
     def _shares(self) -> None:
+        """For each pair of confidences: where order 1 begins, where order 0 begins, and the share of order 0."""
         units = (1 << _MIX) - 3
         share = np.floor(self.right / self.right.sum(axis=1, keepdims=True) * units).astype(np.int64)
-        self.share2, self.share1 = 1 + share[:, 0], 1 + share[:, 1]
-        self.share0 = (1 << _MIX) - self.share2 - self.share1
+        self.edges1 = 1 + share[:, 0] << _BASE
+        self.edges0 = self.edges1 + (1 + share[:, 1] << _BASE)
+        self.shares0 = (1 << _MIX) - (self.edges0 >> _BASE)
 
     def predict(self, before: np.ndarray, last: np.ndarray) -> None:
         """What is predicted after `before`, `last` of each lane."""
         self.last, self.slot = last, (before * 0x9E3779B1 + last * 0x85EBCA6B >> 7) & (_SLOTS - 1)
-        two, one = self.two[self.slot], self.one[last]
-        self.id2, self.sure2, self.id1, self.sure1 = two >> 2, two & 3, one >> 2, one & 3
-        self.context = self.sure2 * 4 + self.sure1
-        self.w2, self.w1, self.w0 = self.share2[self.context], self.share1[self.context], self.share0[self.context]
-        self.edge1 = self.w2 << _BASE
-        self.edge0 = self.edge1 + (self.w1 << _BASE)
+        self.was2, self.was1 = self.two.take(self.slot), self.one.take(last)
+        self.id2, self.sure2, self.id1, self.sure1 = self.was2 >> 2, self.was2 & 3, self.was1 >> 2, self.was1 & 3
+        self.context = self.sure2 << 2 | self.sure1
+        self.edge1, self.edge0, self.w0 = self.edges1.take(self.context), self.edges0.take(self.context), self.shares0.take(self.context)
 
     def interval(self, ids: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of each id's interval, of 2 ** (_BASE + _MIX); by2, by1: predicted by order 2, only by order 1."""
-        begin = np.where(by1, self.edge1, self.edge0 + self.w0 * self.begin[ids])
-        size = np.where(by1, self.edge0 - self.edge1, self.w0 * self.freq[ids])
-        begin[by2] = 0
-        return begin, np.where(by2, self.edge1, size)
+        begin, size = self.begin.take(ids), self.freq.take(ids)
+        begin *= self.w0
+        begin += self.edge0
+        size *= self.w0
+        np.copyto(begin, self.edge1, where=by1)
+        np.copyto(size, self.edge0 - self.edge1, where=by1)
+        np.copyto(begin, 0, where=by2)
+        np.copyto(size, self.edge1, where=by2)
+        return begin, size
 
     def learn(self, ids: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
-        self.two[self.slot] = self._followed(self.id2, self.sure2, by2, ids)
-        self.one[self.last] = self._followed(self.id1, self.sure1, self.id1 == ids, ids)
-        self.right += np.bincount(self.context * 3 + 2 - 2 * by2 - by1, minlength=48).reshape(16, 3)
+        fresh = ids << 2
+        self.two[self.slot] = self._followed(self.was2, self.sure2, by2, fresh)
+        self.one[self.last] = self._followed(self.was1, self.sure1, self.id1 == ids, fresh)
+        self.outcomes.append(self.context * 3 + np.where(by2, 0, 2 - by1))
         self.recent.append(ids)
         self.steps += 1
         if self.steps == self.rebuild_at:
             self.counts += np.bincount(np.concatenate(self.recent), minlength=self.size)
-            self.recent = []
+            self.right += np.bincount(np.concatenate(self.outcomes), minlength=48).reshape(16, 3)
+            self.recent, self.outcomes = [], []
             self.rebuild_at = self.steps + min(16, self.steps)
             self._base()
             self._shares()
 
     @staticmethod
-    def _followed(predicted, sure, hit, ids):  # type: ignore[no-untyped-def]
-        return np.where(hit | (sure > 0), predicted, ids) << 2 | np.where(hit, _UP[sure], _DOWN[sure])
+    def _followed(was, sure, hit, fresh):  # type: ignore[no-untyped-def]
+        """A prediction that held is surer by one, up to 3; one that didn't is less sure, or gives way."""
+        missed = np.where(sure > 0, was - 1, fresh)
+        np.copyto(missed, was + (sure < 3), where=hit)
+        return missed
 
 
 _TOTAL = np.uint64(_BASE + _MIX)
@@ -150,8 +171,9 @@ def encode_block(ids: np.ndarray, size: int) -> bytes:
         unit = span[:there] >> _TOTAL
         old = low[:there]
         new = old + begin.view(np.uint64) * unit
-        over = np.flatnonzero(new < old)
-        words[over, used[over] - 1] += np.uint64(1)
+        if (past := new < old).any():
+            over = np.flatnonzero(past)
+            words[over, used[over] - 1] += np.uint64(1)
         low[:there], span[:there] = new, part.view(np.uint64) * unit
         out = np.flatnonzero(span[:there] < _LEAST)
         words[out, used[out]] = low[out] >> _WORD
@@ -196,7 +218,7 @@ def decode_block(data: bytes, size: int) -> np.ndarray:
         by1 = (v < model.edge0) & ~by2
         x = np.where(by2, model.id2, model.id1)
         rest = np.flatnonzero(v >= model.edge0)
-        x[rest] = np.searchsorted(model.end, (v[rest] - model.edge0[rest]) // model.w0[rest], "right")
+        x[rest] = model.at((v[rest] - model.edge0[rest]) // model.w0[rest])
         begin, part = model.interval(x, by2, by1)
         code[:there] -= begin.view(np.uint64) * unit
         span[:there] = part.view(np.uint64) * unit
@@ -224,11 +246,13 @@ class Writer:
         self.held, self.n, self.docs, self.ids, self.bytes = [], 0, [], 0, 12
         stream.write(_MAGIC + struct.pack("<I", size))
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id is not None, doc_id or 0, len(ids)))
-        self.held.append(ids)
-        self.n += len(ids)
-        self.ids += len(ids)
+    def add(self, doc_id: int | None, *parts: np.ndarray) -> None:
+        """A document, of the ids of all parts."""
+        n = sum(map(len, parts))
+        self.docs.append((doc_id is not None, doc_id or 0, n))
+        self.held += parts
+        self.n += n
+        self.ids += n
         if self.n >= self.block:
             ids = np.concatenate(self.held)
             whole = len(ids) - len(ids) % self.block
@@ -288,10 +312,12 @@ def read_documents(source) -> Iterator[tuple[int | None, Iterator[np.ndarray]]]:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, with the pieces that come again kept."""
+    """Ids of texts by the tokenizers library, with those of words that come again kept."""
 
     #: A blank that follows white space; and where to cut a text that has one.
     _UNSAFE, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+    #: Signs that end a word: where one follows a letter or digit the splitting pattern cuts too.
+    _SIGNS = ".,;:!?#%*"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -300,46 +326,123 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to one pattern engine, not to the other
-            return [text]
-        if self._UNSAFE.search(text) is None:
-            first, *others = text.split(" ")
-            return [first, *[" " + p for p in others]]
-        return self._CUT.split(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        pieces = [self._pieces(t) for t in texts]
-        if len(self.kept) > KEPT_PIECES:
-            self.older, self.kept = self.kept, {}
-        kept, older = self.kept, self.older
-        missing = []
-        for p in {p for own in pieces for p in own}:
-            if p not in kept:
-                if p in older:
-                    kept[p] = older[p]
-                else:
-                    missing.append(p)
-        # pieces that a blank begins and none ends are encoded as one text, which is cut where a text of them would be
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.size = max(names.values()) + 1
+        self.blank = np.zeros(self.size, bool)  # tokens that begin with a blank
+        self.blank[[i for name, i in names.items() if name.startswith(_BLANK)]] = True
+        special = "".join(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.signs = "".join(c for c in self._SIGNS if c not in special)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}  # of a piece; its ids are self.ids[begin : begin + length]
+        self.begin, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Numbers pieces; ids holds theirs, one after the other."""
+        at, n = len(self.number), len(pieces)
+        self.begin, self.length, self.ids = _room(self.begin, at + n), _room(self.length, at + n), _room(self.ids, self.used + len(ids))
+        self.length[at : at + n] = sizes
+        self.begin[at : at + n] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.number.update(zip(pieces, range(at, at + n), strict=True))
+
+    def _encoded(self, pieces: list[str]) -> None:
+        """Numbers pieces (each once, none of them numbered) by the library."""
+        # pieces that a blank begins and none ends are encoded as one text, in which each begins where a blank does
         joined, alone = [], []
-        for p in missing:
+        for p in pieces:
             (joined if p[:1] == " " and not p[-1].isspace() and not p[1:2].isspace() else alone).append(p)
         for at in range(0, len(joined), 10_000):
             part = joined[at : at + 10_000]
-            found = self.library.encode("".join(part), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(p) for p in part])
-            cuts = np.searchsorted(np.fromiter((a for a, _ in found.offsets), np.int64, len(found.offsets)), begins)
-            packed = np.array(found.ids, "<u4").tobytes()
-            for p, a, b in zip(part, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True):
-                kept[p] = packed[a:b]
-        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            kept[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join(map(kept.__getitem__, own)) for own in pieces]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            begins = np.flatnonzero(self.blank[ids])
+            if len(begins) == len(part) and begins[0] == 0:
+                self._keep(part, ids, np.diff(begins, append=len(ids)))
+            else:
+                alone += part
+        for at in range(0, len(alone), 10_000):
+            part = alone[at : at + 10_000]
+            found = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            self._keep(part, np.array([i for own in found for i in own], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces (each once)."""
+        get = self.number.get
+        found = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            cut, new = {}, {}
+            for i in missing:
+                p = pieces[i]
+                stem = p.rstrip(self.signs)
+                # signs after a letter or a digit that all versions of Unicode know are words of their own to the library
+                if len(stem) < len(p) and stem and stem[-1] < "\u0250" and stem[-1].isalnum():
+                    cut[i] = len(stem)
+                    new[stem], new[p[len(stem) :]] = None, None
+                else:
+                    new[p] = None
+            self._encoded([p for p in new if p not in self.number])
+            if cut:
+                stems, ends = (np.fromiter((get(pieces[i][a:b]) for i, n in cut.items() for a, b in [(0, n) if side == 0 else (n, None)]), np.int64, len(cut)) for side in (0, 1))
+                sizes = np.stack([self.length[stems], self.length[ends]], axis=1)
+                ids = self.ids[_spread(np.stack([self.begin[stems], self.begin[ends]], axis=1).ravel(), sizes.ravel())]
+                self._keep([pieces[i] for i in cut], ids, sizes.sum(axis=1))
+            found[missing] = [get(pieces[i]) for i in missing]
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text its ids, as unsigned 32-bit integers."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            end, held = at + 1, len(texts[at])
+            while end < len(texts) and held + len(texts[end]) <= GROUP_CHARACTERS:
+                held += len(texts[end])
+                end += 1
+            out += self._group(texts[at:end])
+            at = end
+        return out
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > KEPT_PIECES:
+            self._forget()
+        # texts that can be cut at every blank; four signs are white space to one pattern engine, not to the other
+        plain = [not any(c in t for c in "\x1c\x1d\x1e\x1f") and self._UNSAFE.search(t) is None for t in texts]
+        others = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else self._CUT.split(t) for t, p in zip(texts, plain, strict=True) if not p]
+        words = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        edges = words.offsets.to_numpy()
+        numbers = self._numbers([" " + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()])[coded.indices.to_numpy()]
+        first = {t: None for t, p in zip((t.split(" ", 1)[0] for t in texts), plain, strict=True) if p}
+        of_first = dict(zip(first, self._numbers(list(first)).tolist(), strict=True))
+        numbers[edges[:-1]] = [of_first[t.split(" ", 1)[0]] if p else -1 for t, p in zip(texts, plain, strict=True)]
+        numbers = numbers[numbers >= 0] if others else numbers
+        words_of = np.where(plain, np.diff(edges), 0)
+        sizes = self.length[numbers]
+        ids = self.ids[_spread(self.begin[numbers], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words_of)])].tolist()
+        rest = iter(others)
+        return [ids[a:b] if p else self._apart(next(rest)) for p, a, b in zip(plain, ends, ends[1:], strict=False)]
+
+    def _apart(self, pieces: list[str]) -> np.ndarray:
+        numbers = dict.fromkeys(pieces)
+        numbers = dict(zip(numbers, self._numbers(list(numbers)).tolist(), strict=True))
+        at = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
+        return self.ids[_spread(self.begin[at], self.length[at])]
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """array, grown so that n entries fit."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each of the given sizes."""
+    end = np.cumsum(size)
+    return np.repeat(begin - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 @functools.lru_cache(2)
@@ -364,18 +467,15 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int = 0) -> Data
     def write(batches):
         store, base = _store(folder)
         writer, name, first = None, "", None
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], np.uint32)
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            texts = b.column("text").to_pylist()
-            for at in range(0, len(ids), 256):
-                packed = encoder(path).encode([t or "" for t in texts[at : at + 256]])
-                for doc_id, p in zip(ids[at : at + 256], packed, strict=True):
-                    if writer is None:
-                        store.create_dir(base, recursive=True)
-                        name, first = f"{base}/{uuid.uuid4().hex}.tokens", doc_id
-                        writer = Writer(store.open_output_stream(name, compression=None), encoder(path).size)
-                    writer.add(doc_id, np.frombuffer(p + end, "<u4"))
+            found = encoder(path).encode([t or "" for t in b.column("text").to_pylist()])
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), found, strict=True):
+                if writer is None:
+                    store.create_dir(base, recursive=True)
+                    name, first = f"{base}/{uuid.uuid4().hex}.tokens", doc_id
+                    writer = Writer(store.open_output_stream(name, compression=None), encoder(path).size)
+                writer.add(doc_id, ids, end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([len(writer.docs)]), pa.array([writer.ids])], names=["path", "first", "n_docs", "n_ids"])
