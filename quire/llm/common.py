@@ -17,15 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
 
-    Only where that is unset (a local session, as in tests) is a folder of our own chosen, once for each context.
+    Only on a local master (as in tests) is a folder of our own chosen where both are unset, once for each context.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
     context = spark.sparkContext
+    set_ = context._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get().rstrip("/")
     if not getattr(context, "_quire_shared", None):
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context._quire_shared = f"file://{tempfile.mkdtemp(prefix='quire-')}"
     return context._quire_shared
 
@@ -56,9 +61,14 @@ def slots(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes, so that a worker holds a few MB of text however long the rows are."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
-        spark.conf.set(key, value)
+    """Arrow batches of bounded bytes, so that a worker holds a few MB of text however long the rows are.
+
+    These are settings of the session, as Spark reads them when a plan runs; they are only ever made smaller.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key, None) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def clashing(df: DataFrame, names: list[str]) -> DataFrame:

@@ -338,6 +338,69 @@ def test_viterbi_against_all_paths():
         assert value(langid.viterbi(scores, 12.0).tolist()) == max(map(value, itertools.product(range(3), repeat=len(scores))))
 
 
+def test_long_paths_against_exact_viterbi():
+    """Many texts at once, of 0 to 700 words in changing languages: the best totals, by one word after the other."""
+    draw = np.random.default_rng(6)
+    for k in (1, 2, 5):
+        sizes = draw.integers(0, 700, 60).tolist() + [0, 1, 128, 129, 256]
+        edges = np.cumsum([0, *sizes]).tolist()
+        scores = -draw.integers(0, 6, (edges[-1], k)).astype(float)
+        favoured = np.repeat(draw.integers(0, k, edges[-1] // 20 + 1), 20)[: edges[-1]]
+        scores[np.arange(edges[-1]), favoured] += draw.integers(0, 5, edges[-1])
+        path = langid.paths(scores, edges, 12.0)
+        for a, b in itertools.pairwise(edges):
+            if a < b:
+                best = scores[a]
+                for row in scores[a + 1 : b]:
+                    best = row + np.maximum(best, best.max() - 12)
+                assert scores[np.arange(a, b), path[a:b]].sum() - 12 * (np.diff(path[a:b]) != 0).sum() == best.max()
+
+
+def test_words_are_scored_as_one_by_one():
+    """New words of a batch together, against a score of each word by itself, written from the definition."""
+    draw = np.random.default_rng(5)
+    grams = draw.integers(0, 4, (3, langid.BUCKETS))
+    scripts = np.zeros((3, len(langid.NAMES)), int)
+    for own, names in zip(scripts, (["latin"], ["latin", "cyrillic"], ["greek"]), strict=True):
+        own[[langid.NAMES.index(n) for n in names]] = 50
+    model = langid.Model(["a", "b", "c"], grams, scripts)
+    alphabet = "abcÄßéжΩяйλ日1-.'İ"
+    words = ["", "12", "Ελλάς", "x" * 400_000, *("".join(draw.choice(list(alphabet), int(n))) for n in draw.integers(1, 9, 400))]
+
+    def alone(word):
+        letters = [c for c in word.lower() if c.isalpha()]
+        if not letters:
+            return [0.0] * 3, 0
+        buckets = langid.Words([word]).buckets
+        assert len(buckets) == len(letters)
+        score = [sum(float(model.log[b, i]) for b in buckets) for i in range(3)]
+        of = Counter(next(n for at, n in reversed(langid.SCRIPTS) if at <= ord(c)) for c in letters)
+        most = min(of, key=lambda n: (-of[n], n))
+        uses = [scripts[i][langid.NAMES.index(most)] > 0 for i in range(3)]
+        if any(uses):
+            top = max(s for s, u in zip(score, uses, strict=True) if u)
+            score = [s if u else top - langid.DEFEAT for s, u in zip(score, uses, strict=True)]
+        return [max(s - max(score), -langid.DEFEAT) for s in score], len(letters)
+
+    scores, letters = model.words(words)
+    for word, score, n in zip(words, scores.tolist(), letters.tolist(), strict=True):
+        wanted = alone(word)
+        assert n == wanted[1] and np.allclose(score, wanted[0], atol=1e-2 if len(word) > 1000 else 1e-3)
+    once = langid.Labeller(model)
+    texts = [" ".join(draw.choice(words[4:], int(n))) for n in draw.integers(0, 30, 50)]
+    assert once.texts(texts) == [langid.Labeller(model).text(t) for t in texts]
+
+
+def test_language_of_odd_texts(spark):
+    train = [(i, t, l, "s", 1) for i in range(60) for t, l in (("the cat sat on the mat", "en"), ("это простой текст", "ru"))]
+    odd = [(100, None, "en", "s", 1), (101, "", "en", "s", 1), (102, "12 !!", "en", "s", 1), (103, "the cat " * 400_000, None, "s", 1), (None, "простой текст", "ru", None, None)]
+    found = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(train + odd, SCHEMA)).where("doc_id IS NULL OR doc_id >= 100").collect()}
+    for doc in (100, 101, 102):
+        assert (found[doc]["lang_pred"], found[doc]["score"]) == ("und", 0.0)
+    assert found[103]["lang_pred"] == "en" and found[103]["score"] > 0.99 and len(found[103]["spans"]) == 1
+    assert found[None]["lang_pred"] == "ru" and found[None]["held_out"] is False
+
+
 def test_mixed_documents_stay(spark):
     """A text of three languages, none of which has half of its letters; only texts without letters go."""
     of = {"en": "the cat sat on the mat with those things", "ru": "это простой текст на языке", "el": "αυτό είναι ένα απλό κείμενο"}
