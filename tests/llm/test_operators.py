@@ -241,18 +241,52 @@ def test_arc_records(version):
 # --- search
 
 
-def test_top_k_with_ties(spark):
+def wanted_top(vectors, k=20):
+    """query_id, rank, vec_id, score by all pairs of rows."""
+    out = []
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    for at, (q, v) in enumerate(whole):
+        if q is not None and q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i or 0) for n, (i, w) in enumerate(whole) if n != at and len(w) == len(v))[:k]
+            out += [(q, n, None if none else i, -s) for n, (s, none, i) in enumerate(best, 1)]
+    return sorted(out, key=lambda r: (*r[:2], -r[3], r[2] is None, r[2] or 0))
+
+
+def found_top(df, **how):
+    return sorted(rows(topk.top_k(df, **how), "query_id", "rank", "vec_id", "score"), key=lambda r: (*r[:2], -r[3], r[2] is None, r[2] or 0))
+
+
+@pytest.mark.parametrize("block_rows", [64, 65_536])
+def test_top_k(spark, block_rows):
+    """Ties, repeated and missing vec_ids, vectors that take no part, several lengths, and very large components."""
     draw = np.random.default_rng(2)
     data = [(i, [float(x) for x in draw.integers(-3, 4, 5) / 64]) for i in range(300)]
+    data += [(20, [1.0] * 5), (20, [0.0] * 5), (1, [3.0] * 5), (1, [2.0] * 5), (None, [3.0] * 5), (None, [-1.0] * 5), (-40, [0.5] * 5)]
+    data += [(500, [300_000.0, -1e7, 1.0]), (501, [-1e7, 1e7, 0.25]), (502, [0.5, -0.5, 1e9]), (520, []), (521, [])]
     bad = [(400, None), (420, [float("nan")] * 5), (440, [None] * 5), (460, [float("inf")] * 5)]
-    df = spark.createDataFrame(data + bad, "vec_id long, embedding array<double>")
-    whole = {i: [math.floor(64 * x) for x in v] for i, v in data}
-    wanted = []
-    for q in whole:
-        if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:20]
-            wanted += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert rows(topk.top_k(df, block_rows=64), "query_id", "rank", "vec_id", "score") == wanted
+    schema = "vec_id long, embedding array<double>, score string, rank string, dims string"
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in data + bad], schema).repartition(3)
+    assert found_top(df, block_rows=block_rows) == wanted_top(data)
+    assert found_top(df, block_rows=block_rows, block_queries=3) == wanted_top(data)
+    assert topk.top_k(df.limit(0)).collect() == []
+    assert topk.top_k(df.where("vec_id = 1")).collect() == []
+
+
+def test_top_k_says_what_no_long_holds(spark):
+    for v, error in (([1e300], "too large for a long"), ([1e15], "too large for a long")):
+        df = spark.createDataFrame([(20, v), (21, v)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match=error):
+            topk.top_k(df).collect()
+
+
+def test_signed_digits():
+    draw = np.random.default_rng(7)
+    q = np.array([0, 1, -1, 7, -7, (1 << 63) - 1, -(1 << 63), *draw.integers(-(1 << 40), 1 << 40, 50)], np.int64)
+    attribute, power, sign = topk.digits(q)
+    for j, x in enumerate(q.tolist()):
+        own = attribute == j
+        assert sum(int(s) << int(p) for p, s in zip(power[own], sign[own], strict=True)) == x
+        assert (np.diff(np.sort(power[own])) > 1).all()
 
 
 # --- shards
@@ -428,7 +462,7 @@ def _labels(df):
 
 OPERATORS = {
     "exact": exact.exact_dedup, "exact_groups": exact.exact_groups, "near": simhash.near_dedup, "near_groups": simhash.near_groups, "mix": mixing.mix, "tokens": lambda df: bpe.tokenized(df, WORDS), "files": lambda df: tokenfile.token_table(df, BYTES),
-    "shards": shards.shard, "language": langid.identify, "identified": langid.keep_identified, "toxicity": lambda df: toxicity.toxicity(df, _labels(df)),
+    "top_k": lambda df: topk.top_k(df.selectExpr("doc_id AS vec_id", "array(1.0D * n_chars, 2.0D) AS embedding"), query_every=1), "shards": shards.shard, "language": langid.identify, "identified": langid.keep_identified, "toxicity": lambda df: toxicity.toxicity(df, _labels(df)),
 }
 WHOLE = {"exact_groups", "near_groups", "tokens", "files", "shards", "language", "toxicity"}
 
