@@ -1,6 +1,7 @@
 """Operators that SQL can't express, held against brute force; and cases that any of them may meet."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import math
@@ -228,6 +229,42 @@ def test_revisits_have_their_own_payload(spark):
     assert sorted(rows(warc.archive_pages(df), "page_id", "payload_digest", "record_type", "refers_to"), key=key) == sorted(wanted, key=key)
 
 
+def test_pages_that_share_an_id(spark):
+    """Against brute force: repeated and missing page_ids, and no payload of any row missing from the archives."""
+    pages = [(2, "http://a", "same"), (2, "http://b", "a unique payload"), (1, "http://c", "same"), (None, "http://d", "same"), (None, "http://e", None), (None, "http://f", ""), (7, None, "z"), (7, None, "z"), (9, "http://g", "of no page"), (None, "x y", "w")]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, refers_to string").repartition(3)
+    of = defaultdict(list)
+    for page, _, html in pages:
+        of[html or ""].append((page is None, page or 0))
+    wanted = Counter()
+    for html, own in of.items():
+        digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        least = min(own)
+        least_id = None if least[0] else least[1]
+        wanted[(least_id, digest, "response", None)] += 1
+        for none, page in sorted(own)[1:]:
+            wanted[(None if none else page, digest, "revisit", least_id)] += 1
+    found = warc.archive_pages(df)
+    assert Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found.collect()) == wanted
+    assert warc.archive_pages(df.limit(0)).count() == 0
+
+
+def test_archives_that_others_made(spark, tmp_path):
+    """ARC files without any header of ours, packed and not: duplicates are found by payload, the earliest is the response."""
+    head = b"HTTP/1.0 200 OK\r\n\r\n"
+    record = lambda url, date, payload: warc.ArcRecord(url, "1.2.3.4", date, "text/html", 200, head + payload)
+    first = warc.write_arc([record("http://a", "2003", b"x" * 3000), record("http://b", "2001", b"one")], 1)
+    second = warc.write_arc([record("http://c", "2002", b"x" * 3000), record("http://c", "2002", b"x" * 3000), record("http://d", "2004", b"")], 2)
+    (tmp_path / "a.arc").write_bytes(first)
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(second))
+    folder = f"file://{tmp_path}"
+    archives = spark.createDataFrame([(f"{tmp_path}/a.arc",), (f"{tmp_path}/b.arc.gz",)], "path string")
+    found = warc.read_back(warc.convert(archives, folder), folder).collect()
+    assert Counter((r["url"], r["date"][:4], r["record_type"], r["payload_bytes"]) for r in found if r["record_type"] == "response") == {("http://c", "2002", "response", 3000): 1, ("http://b", "2001", "response", 3): 1, ("http://d", "2004", "response", 0): 1}
+    target = next(r["record_id"] for r in found if r["url"] == "http://c" and r["record_type"] == "response")
+    assert sorted((r["url"], r["refers_to_id"] == target) for r in found if r["record_type"] == "revisit") == [("http://a", True), ("http://c", True)]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     made = [warc.ArcRecord("http://a", "1.2.3.4", "20200102030405", "text/html", 200, b"line\nother\n"), warc.ArcRecord("http://b", "1.2.3.4", "2020", "text/plain", 200, b"")]
@@ -462,9 +499,9 @@ def _labels(df):
 
 OPERATORS = {
     "exact": exact.exact_dedup, "exact_groups": exact.exact_groups, "near": simhash.near_dedup, "near_groups": simhash.near_groups, "mix": mixing.mix, "tokens": lambda df: bpe.tokenized(df, WORDS), "files": lambda df: tokenfile.token_table(df, BYTES),
-    "top_k": lambda df: topk.top_k(df.selectExpr("doc_id AS vec_id", "array(1.0D * n_chars, 2.0D) AS embedding"), query_every=1), "shards": shards.shard, "language": langid.identify, "identified": langid.keep_identified, "toxicity": lambda df: toxicity.toxicity(df, _labels(df)),
+    "top_k": lambda df: topk.top_k(df.selectExpr("doc_id AS vec_id", "array(1.0D * n_chars, 2.0D) AS embedding"), query_every=1), "archives": lambda df: warc.archive_pages(df.selectExpr("doc_id AS page_id", "source AS url", "text AS html", "'x' AS payload_bytes")), "shards": shards.shard, "language": langid.identify, "identified": langid.keep_identified, "toxicity": lambda df: toxicity.toxicity(df, _labels(df)),
 }
-WHOLE = {"exact_groups", "near_groups", "tokens", "files", "shards", "language", "toxicity"}
+WHOLE = {"archives", "exact_groups", "near_groups", "tokens", "files", "shards", "language", "toxicity"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
