@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
@@ -356,6 +357,45 @@ def test_mixing_takes_whole_rows_by_rate(spark):
     assert Counter(map(tuple, found.collect())) == Counter(map(tuple, again.collect()))
 
 
+def copies_of(doc, rate):
+    """By the definition: how many k have P(X <= k) <= u, with exact terms."""
+    u = int(hashlib.md5(f"{mixing.SEED}:{'null' if doc is None else doc}".encode()).hexdigest()[:13], 16) / 2**52
+    k, cdf = 0, math.exp(-rate)
+    while cdf <= u:
+        k += 1
+        cdf += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+    return k
+
+
+def test_mixing_against_brute_force(spark, mess):
+    """Null sources, null doc_ids, empty texts, weights that are missing or none; and the join for many sources."""
+    for weights in (None, {"web": 3.0, "book": 1.0, "absent": 2.0}, {}):
+        mass = Counter()
+        for _, text, _, source, _ in MESS:
+            mass[source] += len(text or "") + 1
+        weight = {s: (m**0.7 if weights is None else weights.get(s, 0.0)) for s, m in mass.items()}
+        total = sum(weight.values()) or 1.0
+        wanted = Counter()
+        for doc, text, _, source, _ in MESS:
+            n = copies_of(doc, weight[source] / total * sum(mass.values()) / mass[source]) if weight[source] else 0
+            for copy in range(1, n + 1):
+                wanted[(doc, text, n, copy)] += 1
+        found = mixing.mix(mess, weights)
+        assert Counter((r["doc_id"], r["text"], r["copies"], r["copy"]) for r in found.collect()) == wanted
+    table, _ = mixing.rates(mess)
+    found = mixing.salted(mess, table)
+    assert Counter((r["source"], r["doc_id"]) for r in found.collect()) == Counter((r[3], r[0]) for r in MESS)
+
+
+def test_copies_of_high_rates(spark):
+    df = spark.range(200).selectExpr("id AS doc_id")
+    for rate in (0.0, 1e-9, 0.3, 1.0, 40.0, 700.0):
+        u = mixing._hash(mixing.SEED, df["doc_id"])
+        u = F.conv(F.substring(u, 1, 13), 16, 10).cast("double") / float(1 << 52)
+        found = df.select("doc_id", mixing.inverted(F.lit(rate), u).alias("n")).collect()
+        assert all(r["n"] == (copies_of(r["doc_id"], rate) if rate else 0) for r in found)
+
+
 # --- models
 
 
