@@ -1,13 +1,15 @@
 """Shards of near equal bytes by histogram sort.
 
 Rows are ordered by (hash of the text, doc_id, row number), so equal texts lie side by side, and boundaries between
-ranges are sought before anything moves: each round counts, in every partition, the exact bytes and rows below a set
-of candidate keys, and keeps for each boundary the narrowest interval that holds its target. The next candidates divide
-what is left. A boundary is found when the bytes below a candidate are within the tolerance of its target, or when
-nothing lies between the ends of its interval. Then one exchange brings each row to its range, where it is sorted; the
-counts, which are exact, give each range the slot it begins with, so no shard is ever numbered in one task.
+ranges are sought before anything moves: each round counts, in every partition, the exact bytes and rows below a set of
+candidate keys, and keeps for each boundary the interval that holds its target, no wider than the keys that were seen in
+it. The next candidates divide what is left. A boundary is found when the bytes below a candidate are within the
+tolerance of its target; of an interval that holds at most FEW rows their keys are fetched, and the boundary is the best
+of them. Then one exchange brings each row to its range, where it is sorted; the counts, which are exact, give each range
+the slot it begins with, so no shard is ever numbered in one task.
 
-A key is compared by its three parts, so a text that a third of all rows share is cut by doc_id like any other.
+A key is compared by its three parts, so a text that a third of all rows share is cut by doc_id like any other: equal
+texts (a group) lie in one shard or, where a boundary falls into them, in neighbouring ones, side by side in slots.
 
 Cases: null texts have one byte and the CRC of nothing; repeated rows are told apart by their number; a null doc_id
 sorts as the smallest long; an empty table gives an empty result; shards may stay empty when there are fewer rows than
@@ -19,17 +21,21 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import clashing, text_of, written
 
-#: Candidates for each boundary in each round.
+#: Candidates for each boundary in each round, and of all boundaries together (two for each at least).
 PROBES = 16
-#: Bytes of one range of a shard, as far as RANGES allows; ranges of all shards.
+ALL_PROBES = 200_000
+#: Rows of an interval whose keys are fetched, by the driver, for each boundary that is left.
+FEW = 64
+#: Bytes of one range of a shard; the driver holds a key for each range, up to RANGES, beyond which they grow.
 RANGE_BYTES = 64 << 20
-RANGES = 4096
+RANGES = 65_536
 
 Key = tuple[int, int, int]
 _HALF = 1 << 63
@@ -59,73 +65,129 @@ def _between(low: Key, high: Key, n: int) -> list[Key]:
     return out
 
 
-def _below(keys: DataFrame, probes: list[Key]) -> list[tuple[int, int]]:
-    """Bytes and rows below each probe (ascending): one pass over the keys, one row for each interval and partition."""
-    numbers = [np.array([p[i] for p in probes], np.int64) for i in range(3)]
+class Sorted:
+    """Keys in ascending order, and where others lie among them."""
+
+    def __init__(self, keys: list[Key]):
+        self.parts = [np.array([k[i] for k in keys], np.int64) for i in range(3)]
+
+    def not_above(self, h: np.ndarray, d: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How many of the keys are not above (h, d, row)."""
+        at, end = np.searchsorted(self.parts[0], h, "left"), np.searchsorted(self.parts[0], h, "right")
+        while len(open_ := np.flatnonzero(at < end)):  # of the same hash: by halves
+            mid = (at[open_] + end[open_]) // 2
+            past = (self.parts[1][mid] < d[open_]) | (self.parts[1][mid] == d[open_]) & (self.parts[2][mid] <= row[open_])
+            at[open_[past]] = mid[past] + 1
+            end[open_[~past]] = mid[~past]
+        return at
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def _between_probes(keys: DataFrame, probes: list[Key]) -> dict[int, tuple[int, int, Key, Key]]:
+    """Bytes, rows, least and greatest key of each interval i of keys in [probe i - 1, probe i) that has any: one pass."""
+    among, width = Sorted(probes), len(probes) + 1
 
     def count(batches):
-        size, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
+        size, rows = np.zeros(width, np.int64), np.zeros(width, np.int64)
+        least, most = np.full((width, 3), np.iinfo(np.int64).max), np.full((width, 3), np.iinfo(np.int64).min)
         for b in batches:
-            k = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_h", "_d", "_row")]
-            at = np.searchsorted(numbers[0], k[0], "left")  # the first probe of the same hash, if there is one
-            end = np.searchsorted(numbers[0], k[0], "right")
-            while len(open_ := np.flatnonzero(at < end)):
-                p = at[open_]
-                d, r = k[1][open_], k[2][open_]
-                past = (numbers[1][p] < d) | (numbers[1][p] == d) & (numbers[2][p] <= r)
-                at[open_[past]] += 1
-                end[open_[~past]] = at[open_[~past]]
-            # a probe counts what is below it: interval i holds keys in [probe i - 1, probe i)
-            rows += np.bincount(at, minlength=len(rows))
-            size += np.bincount(at, weights=b.column("size").to_numpy(zero_copy_only=False), minlength=len(size)).astype(np.int64)
+            if not b.num_rows:
+                continue
+            h, d, r, n = _columns(b, "_h", "_d", "_row", "size")
+            order = np.lexsort((r, d, h))
+            key = np.stack([h, d, r], axis=1)[order]
+            at = among.not_above(h, d, r)[order]  # ascending, as the keys are
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            own = at[first]
+            rows[own] += np.diff(first, append=len(at))
+            size[own] += np.add.reduceat(n[order], first)
+            last = np.append(first[1:], len(at)) - 1
+            for held, new, sign in ((least, key[first], -1), (most, key[last], 1)):
+                old = held[own]
+                differ = (old != new).argmax(axis=1)
+                i = np.arange(len(own))
+                better = (new[i, differ] > old[i, differ]) if sign > 0 else (new[i, differ] < old[i, differ])
+                held[own[better]] = new[better]
         there = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(size[there]), pa.array(rows[there])], ["i", "size", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(size[there]), pa.array(rows[there]), *(pa.array(x[there, i]) for x in (least, most) for i in range(3))], ["i", "size", "n", "h1", "d1", "r1", "h2", "d2", "r2"])
+
+    counted = keys.select("_h", "_d", "_row", "size").mapInArrow(count, "i long, size long, n long, h1 long, d1 long, r1 long, h2 long, d2 long, r2 long")
+    found = counted.groupBy("i").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.min(F.struct("h1", "d1", "r1")).alias("least"), F.max(F.struct("h2", "d2", "r2")).alias("most"))
+    return {r["i"]: (r["size"], r["n"], tuple(r["least"]), tuple(r["most"])) for r in found.collect()}  # a row for each interval at most
+
+
+def _inside(keys: DataFrame, intervals: list[tuple[Key, Key]]) -> dict[int, list[tuple[Key, int]]]:
+    """The keys, in order, with their bytes, in each of the disjoint, ascending intervals [low, high)."""
+    among = Sorted([k for pair in intervals for k in pair])
 
-    found = keys.select("_h", "_d", "_row", "size").mapInArrow(count, "i long, size long, n long").groupBy("i").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()
-    size, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
-    for x in found:
-        size[x["i"]], rows[x["i"]] = x["size"], x["n"]
-    return list(zip(np.cumsum(size)[:-1].tolist(), np.cumsum(rows)[:-1].tolist(), strict=True))
+    def fetch(batches):
+        for b in batches:
+            h, d, r, n = _columns(b, "_h", "_d", "_row", "size")
+            at = among.not_above(h, d, r)
+            there = at % 2 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[there]) for x in (at // 2, h, d, r, n)], ["i", "h", "d", "r", "size"])
+
+    out: dict[int, list[tuple[Key, int]]] = {}
+    for x in keys.select("_h", "_d", "_row", "size").mapInArrow(fetch, "i long, h long, d long, r long, size long").collect():
+        out.setdefault(x["i"], []).append(((x["h"], x["d"], x["r"]), x["size"]))
+    return {i: sorted(own) for i, own in out.items()}
 
 
 def splitters(keys: DataFrame, total: tuple[int, int], parts: int, tolerance: float) -> list[tuple[Key, int]]:
     """For each boundary 1 .. parts - 1 its key and the rows below it."""
     targets = [total[0] * i // parts for i in range(1, parts)]
     slack = tolerance * total[0] / parts
-    low: list[tuple[Key, int, int]] = [(_LOW, 0, 0)] * len(targets)
-    high: list[tuple[Key, int, int]] = [(_HIGH, *total)] * len(targets)
+    End = tuple[Key, int, int]  # a key, and the bytes and rows below it
+    low: list[End] = [(_LOW, 0, 0)] * len(targets)
+    high: list[End] = [(_HIGH, *total)] * len(targets)
     done: dict[int, tuple[Key, int]] = {}
-    while len(done) < len(targets):
-        asked: set[Key] = set()
-        for i, target in enumerate(targets):
-            if i in done:
-                continue
-            (a, a_size, a_rows), (b, b_size, b_rows) = low[i], high[i]
-            probes = _between(a, b, PROBES)
-            if b_rows - a_rows > 1 and probes:
-                # beside the even ones, where the target would be if bytes were spread evenly, and closely around it
-                n, span = _number(a), _number(b) - _number(a)
-                guess = [n + span * max(0, target - a_size + s * (b_size - a_size) // 64) // max(1, b_size - a_size) for s in (-1, 0, 1)]
-                asked |= {*probes, *(_key(g) for g in guess if n < g < n + span)}
-            else:
-                near = min((low[i], high[i]), key=lambda x: abs(x[1] - target))  # noqa: B023
-                done[i] = (near[0], near[2])
-        if not asked:
+
+    def settle(i: int, ends: list[End], always: bool) -> None:
+        best = min(ends, key=lambda x: abs(x[1] - targets[i]))
+        if always or abs(best[1] - targets[i]) <= slack:
+            done[i] = (best[0], best[2])
+
+    while True:
+        open_ = [i for i in range(len(targets)) if i not in done and high[i][2] - low[i][2] > FEW]
+        if not open_:
             break
+        asked: set[Key] = set()
+        n = max(2, min(PROBES, ALL_PROBES // len(open_)))
+        for i in open_:
+            (a, a_size, _), (b, b_size, _) = low[i], high[i]
+            # beside the even ones, where the target would be if bytes were spread evenly, and closely around it
+            begin, span = _number(a), _number(b) - _number(a)
+            guess = [begin + span * max(0, targets[i] - a_size + s * (b_size - a_size) // 64) // max(1, b_size - a_size) for s in (-1, 0, 1)]
+            asked |= {*_between(a, b, n), *(_key(g) for g in guess if begin < g < begin + span)}
         probes = sorted(asked)
-        counts = _below(keys, probes)
-        sizes = [c[0] for c in counts]
-        for i, target in enumerate(targets):
-            if i in done:
-                continue
-            at = bisect_right(sizes, target)
-            if at and _number(probes[at - 1]) > _number(low[i][0]):
-                low[i] = (probes[at - 1], *counts[at - 1])
-            if at < len(probes) and _number(probes[at]) < _number(high[i][0]):
-                high[i] = (probes[at], *counts[at])
-            for key, size, rows in (low[i], high[i]):
-                if i not in done and abs(size - target) <= slack:
-                    done[i] = (key, rows)
+        there = _between_probes(keys, probes)
+        below: list[tuple[int, int]] = [(0, 0)]  # of each interval, what lies before it
+        for i in range(len(probes)):
+            size, rows = there.get(i, (0, 0))[:2]
+            below.append((below[-1][0] + size, below[-1][1] + rows))
+        sizes = [x[0] for x in below]
+        for i in open_:
+            at = bisect_right(sizes, targets[i]) - 1  # the last interval that begins no later than the target
+            size, rows, least, most = there.get(at, (0, 0, _LOW, _HIGH))
+            if rows:
+                low[i] = max(low[i], (least, *below[at]))
+                high[i] = min(high[i], (_key(_number(most) + 1), below[at][0] + size, below[at][1] + rows))
+            else:  # nothing from the target on
+                low[i] = high[i]
+            settle(i, [low[i], high[i]], always=False)
+    left = [i for i in range(len(targets)) if i not in done]
+    intervals = sorted({(low[i][0], high[i][0]) for i in left if low[i][2] < high[i][2]})
+    inside = _inside(keys, intervals) if intervals else {}
+    number = {pair: n for n, pair in enumerate(intervals)}
+    for i in left:
+        ends, (size, rows) = [low[i], high[i]], low[i][1:]
+        for key, n in inside.get(number.get((low[i][0], high[i][0]), -1), []):
+            ends.append((key, size, rows))
+            size, rows = size + n, rows + 1
+        settle(i, ends, always=True)
     return [done[i] for i in range(len(targets))]
 
 
@@ -136,35 +198,24 @@ def shard(df: DataFrame, shards: int = 16, tolerance: float = 0.001, range_bytes
     largest row can make it more.
     """
     size = (F.octet_length(text_of(df)) + 1).cast("long")
-    rows = clashing(df, ["size", "shard", "slot", "_h", "_d", "_row"])
+    rows = clashing(df, ["size", "shard", "slot", "_h", "_d", "_row", "_range", "_at"])
     rows = rows.withColumn("size", size).withColumn("_h", F.xxhash64(F.encode(text_of(df), "UTF-8"))).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "shards")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
     per_shard = max(4, -(-total["size"] // (shards * range_bytes)))
-    parts = shards * int(min(per_shard, RANGES // shards))
+    parts = shards * int(min(per_shard, max(4, RANGES // shards)))
     found = splitters(rows, (total["size"], total["n"]), parts, tolerance) if total["n"] else []
-    keys, starts = [k for k, _ in found], [0, *(n for _, n in found)]
-    shard_of = [i * shards // parts for i in range(parts)]
-    first = {s: starts[shard_of.index(s)] for s in range(shards)} if found else {}
-    numbers = [np.array([k[i] for k in keys], np.int64) for i in range(3)]
-
-    @F.pandas_udf("int")
-    def range_of(h, d, row):  # type: ignore[no-untyped-def]
-        import pandas as pd
-
-        h, d, row = (x.to_numpy(np.int64) for x in (h, d, row))
-        at, end = np.searchsorted(numbers[0], h, "left"), np.searchsorted(numbers[0], h, "right")
-        while len(open_ := np.flatnonzero(at < end)):
-            p = at[open_]
-            past = (numbers[1][p] < d[open_]) | (numbers[1][p] == d[open_]) & (numbers[2][p] <= row[open_])
-            at[open_[past]] += 1
-            end[open_[~past]] = at[open_[~past]]
-        return pd.Series(at.astype(np.int32))
-
-    at = F.col("_range")
-    literal = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs]) if xs else F.array(F.lit(0).cast("long"))
-    begins = [starts[i] - first[shard_of[i]] if found else 0 for i in range(parts)]
+    among = Sorted([k for k, _ in found])
+    starts = np.array([0, *(n for _, n in found)], np.int64) if found else np.zeros(parts, np.int64)
+    shard_of = np.arange(parts) * shards // parts
+    begins = starts - starts[np.searchsorted(shard_of, shard_of)]  # rows of the shard before the range
+
+    @F.pandas_udf("range int, shard int, begin long")
+    def placed_in(h: pd.Series, d: pd.Series, row: pd.Series) -> pd.DataFrame:
+        at = among.not_above(*(x.to_numpy(np.int64) for x in (h, d, row)))
+        return pd.DataFrame({"range": at.astype(np.int32), "shard": shard_of[at].astype(np.int32), "begin": begins[at]})
+
     order = Window.partitionBy("_range").orderBy("_h", "_d", "_row")
-    placed = rows.withColumn("_range", range_of("_h", "_d", "_row")).withColumn("slot", F.row_number().over(order).cast("long"))
-    placed = placed.withColumn("shard", (at * shards / F.lit(parts)).cast("int")).withColumn("slot", F.col("slot") - 1 + F.element_at(literal(begins), at + 1))
-    return placed.drop("_h", "_d", "_row", "_range")
+    placed = rows.withColumn("_at", placed_in("_h", "_d", "_row")).withColumn("_range", F.col("_at.range"))
+    placed = placed.withColumn("slot", F.col("_at.begin") + F.row_number().over(order) - 1).withColumn("shard", F.col("_at.shard"))
+    return placed.drop("_h", "_d", "_row", "_range", "_at")

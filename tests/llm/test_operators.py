@@ -18,7 +18,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from quire.llm import bpe, exact, langid, mixing, shards, simhash, similar, tokenfile, topk, toxicity, warc  # noqa: E402
+from quire.llm import bpe, exact, langid, mixing, queries, shards, simhash, similar, tokenfile, topk, toxicity, warc  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -345,6 +345,47 @@ def test_shards(which, request):
     assert all(abs(held[s] - total / 16) <= 2 * largest + 0.002 * total / 16 for s in range(16))
 
 
+@pytest.mark.parametrize("parts", [2, 16, 64, 300])
+def test_splitters_against_brute_force(spark, parts):
+    """Random sizes, a text that a third of all rows share, repeated rows and null doc_ids: each boundary as near as any key is."""
+    draw = np.random.default_rng(parts)
+    n = 3000
+    text = [0 if i % 3 == 0 else int(x) for i, x in enumerate(draw.integers(1, 700, n))]
+    data = [(t * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63), -(1 << 63) if i % 50 == 0 else i // 2, i, int(s)) for i, (t, s) in enumerate(zip(text, draw.integers(1, 90, n), strict=True))]
+    keys = spark.createDataFrame(data, "_h long, _d long, _row long, size long").repartition(5)
+    total = sum(r[3] for r in data)
+    data.sort()
+    below = np.cumsum([0, *(r[3] for r in data)])
+    for tolerance in (0.0, 0.2):
+        found = shards.splitters(keys, (total, n), parts, tolerance)
+        for i, (key, rows_below) in enumerate(found, 1):
+            target = total * i // parts
+            assert rows_below == sum(r[:3] < key for r in data)
+            near = np.abs(below - target).min()
+            assert abs(below[rows_below] - target) <= max(near, tolerance * total / parts)
+
+
+def test_shards_of_equal_texts(mess):
+    """Equal texts lie side by side in slots, cut by doc_id only where a boundary falls; the rest of the query's columns."""
+    found = [(r["shard"], r["slot"], r["text"] or "", r["doc_id"]) for r in shards.shard(mess.select("doc_id", "text"), shards=2).collect()]
+    order = [r[2] for r in sorted(found)]
+    assert len([t for t, _ in itertools.groupby(order)]) == len(set(order))
+    for _, own in itertools.groupby(sorted(found, key=lambda r: r[:2]), key=lambda r: r[2]):
+        ids = [(d is not None, d or 0) for *_, d in own]
+        assert ids == sorted(ids)
+
+
+def test_shard_query(spark):
+    found = queries.QUERIES["op9_histogram_shards"](spark, "/root/testdata/sf0.001")
+    texts = dict(listed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    assert found.count() == len(texts)
+    for r in found.collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+    empty = shards.shard(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.collect() == [] and empty.columns == ["doc_id", "text", "size", "slot", "shard"]
+
+
 # --- mixing
 
 
