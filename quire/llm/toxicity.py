@@ -1,24 +1,27 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posteriors.
 
-Voters are lexicon entries and patterns. Words, and beginnings of words of four to six letters (for languages that
-inflect), that labelled toxic texts hold far more often than clean ones make the lexicon; each entry votes toxic where
-it occurs and abstains elsewhere, and three pattern voters vote clean where no entry of a kind occurs. The label model,
-which sees votes only and no labels, estimates each voter's rates for either class by expectation maximisation; voters
-that fire on the same texts beyond what the classes explain are correlated, and each counts for as much less as it has
-such neighbours. A logistic regression on the presence of lexicon entries and of the commonest other words is then
-trained on the posteriors, and scores every text.
-
-Learning takes at most SAMPLE labelled rows, chosen by a hash of doc_id, of those not held out (crc32 of doc_id as text
-modulo 4 is 2); the bound is a parameter. What is counted comes from the executors as sums for each feature, and what
-the fit sees is a vector of at most FEATURES bits for each row of the sample.
-
-Cases: null and empty texts get the score of no evidence; a null doc_id isn't held out and isn't learned from; rows
-whose label is null aren't learned from; without labelled rows of both kinds all scores are 0; an empty table gives an
-empty result; clashing columns of the input are replaced.
+Voters are lexicon entries and patterns. Entries are a short list of insults, which a caller may replace, and what is
+learned: words, and beginnings of words of four to six letters (for languages that inflect), that labelled toxic texts
+hold far more often than clean ones. Each entry votes toxic where it occurs and abstains elsewhere. Patterns are letters
+with signs or digits between them, letters drawn out, repeated exclamation, words in capitals, an entry next to a word
+that addresses somebody, and many entries; each votes toxic where it is found, and three more voters vote clean where no
+entry of a kind occurs. The label model, which sees votes only and no labels, estimates each voter's rates for either
+class by expectation maximisation; voters that fire on the same texts beyond what the classes explain are correlated, and
+each counts for as much less as it has such neighbours. A logistic regression on the presence of lexicon entries and of
+the commonest other words is then trained on the posteriors, and scores every text.
+
+Learning takes at most SAMPLE labelled documents, chosen by a hash of doc_id, of those not held out (crc32 of doc_id as
+text modulo 4 is 2); the bound is a parameter. What is counted comes from the executors as sums for each feature, and
+what the fit sees is a list of features for each document of the sample.
+
+Cases: null and empty texts get the score of no evidence; a null doc_id isn't held out and isn't learned from; of rows
+that repeat a doc_id the smallest text is learned from; rows whose label is null aren't learned from; without labelled
+rows of both kinds all scores are 0; an empty table gives an empty result; clashing columns of the input are replaced.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 
@@ -37,6 +40,21 @@ LEXICON = 400
 FEATURES = 1000
 KEPT_WORDS = 200_000
 THRESHOLD = 0.3
+#: Insults in the languages of the corpus; a parameter.
+INSULTS = (
+    "idiot", "moron", "stupid", "dumb", "fool", "loser", "scum", "trash", "garbage", "pathetic", "clown", "jerk", "disgusting", "worthless", "idiota", "imbécil", "estúpido", "estúpida", "tonto", "basura", "escoria", "patético", "payaso",
+    "imbécile", "stupide", "crétin", "ordure", "pathétique", "débile", "trottel", "dumm", "dummkopf", "abschaum", "versager", "erbärmlich", "blödmann",
+)
+#: Words that address somebody.
+ADDRESS = frozenset("you your you're ur du dich dir dein deine ihr euch tu te toi vous votre ton tú ti usted ustedes vosotros eres".split())
+#: Patterns that vote toxic; two more are of places of entries.
+PATTERNS = (
+    re.compile(r"[^\W\d_][@$*#0-9]+[^\W\d_]"),
+    re.compile(r"([^\W\d_])\1{3}"),
+    re.compile(r"[!?]{3}"),
+    re.compile(r"\b[A-Z]{4,}\W+[A-Z]{4,}\b"),
+)
+MANY = 3
 _EDGES = ".,;:!?\"'()[]{}<>«»„“”…-–—*_#"
 
 
@@ -83,22 +101,39 @@ class LabelModel:
         return posterior
 
     def _independence(self, fires: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        """1 / (1 + the correlations with other voters that are left within the classes)."""
+        """1 / (1 + the correlations, of either sign, with other voters that are left within the classes)."""
         expected = posterior[:, None] * self.rate1 + (1 - posterior)[:, None] * self.rate0
         rest = fires - expected
         spread = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-        correlation = np.clip((rest.T @ rest) / np.outer(spread, spread), 0, 1)
+        correlation = np.minimum(np.abs(rest.T @ rest) / np.outer(spread, spread), 1)
         np.fill_diagonal(correlation, 0)
         return 1 / (1 + np.where(correlation > 0.2, correlation, 0).sum(axis=1))
 
 
-def logistic(x: np.ndarray, target: np.ndarray, l2: float = 2.0, rounds: int = 300, rate: float = 0.5) -> tuple[np.ndarray, float]:
+class Sparse:
+    """A matrix of zeros and ones: the columns that are set, row by row."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.width, self.sizes = width, np.fromiter(map(len, rows), np.int64, len(rows))
+        self.columns = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.columns], minlength=len(self.sizes))
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """The transpose times v."""
+        return np.bincount(self.columns, weights=v[self.row], minlength=self.width)
+
+
+def logistic(x: Sparse, target: np.ndarray, l2: float = 2.0, rounds: int = 300, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft targets, by Adam over all rows."""
-    w, b = np.zeros(x.shape[1]), float(np.log((target.mean() + 1e-6) / (1 - target.mean() + 1e-6)))
+    n = len(target)
+    w, b = np.zeros(x.width), float(np.log((target.mean() + 1e-6) / (1 - target.mean() + 1e-6)))
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        error = 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))) - target
-        gradient = np.append((x.T @ error + l2 * w) / len(x), error.mean())
+        error = 1 / (1 + np.exp(-np.clip(x.dot(w) + b, -60, 60))) - target
+        gradient = np.append((x.back(error) + l2 * w) / n, error.mean())
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         move = rate / np.sqrt(t) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -117,16 +152,29 @@ class Classifier:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text, toxic of at most about `sample` labelled rows that are not held out."""
+    """text, toxic of at most about `sample` labelled documents that are not held out."""
     key = F.col("doc_id")
     own = labels.where(key.isNotNull() & F.col("toxic").isNotNull() & ~held_out(key)).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     n = own.count()
     chosen = own.where(F.pmod(F.xxhash64(key, F.lit(8)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20)).limit(2 * sample)  # the bound, should hashes fall badly
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    return written(rows.select("text", F.col("_toxic").alias("toxic")), "toxicity-sample")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_toxic").alias("toxic"))
+    return written(rows.select("text", "toxic"), "toxicity-sample")
+
+
+def patterns(text: str, entries: set[str]) -> list[int]:
+    """The numbers of the patterns that a text has."""
+    found = [i for i, p in enumerate(PATTERNS) if p.search(text)]
+    words = [w.lower().strip(_EDGES) for w in text.split()]
+    at = [i for i, w in enumerate(words) if w in entries or any(w[:n] + "*" in entries for n in (4, 5, 6))]
+    if any(not ADDRESS.isdisjoint(words[max(0, i - 3) : i + 4]) for i in at):
+        found.append(len(PATTERNS))
+    if len(at) >= MANY:
+        found.append(len(PATTERNS) + 1)
+    return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, insults: tuple[str, ...] = INSULTS) -> Classifier:
     small_batches(docs.sparkSession)
     rows = sampled(docs, labels, sample)
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -154,25 +202,30 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     chance = 2 * float(np.log(max(2, often.count())))
     lexicon = [r["feature"] for r in often.withColumn("excess", excess).where(F.col("excess") >= chance).orderBy(F.desc("excess"), "feature").limit(LEXICON).collect()]
     common = [r["feature"] for r in counts.where(~F.col("feature").endswith("*")).orderBy(F.desc(F.col("toxic") + F.col("clean")), "feature").limit(FEATURES - LEXICON).collect()]
+    listed = [r["feature"] for r in counts.where(F.col("feature").isin(*insults) if insults else F.lit(False)).select("feature").collect()]
+    lexicon += sorted(set(listed) - set(lexicon))
     vocabulary = lexicon + [f for f in common if f not in set(lexicon)]
     if not lexicon:
         return Classifier([], np.zeros(0), -60.0)
-    place = {f: i for i, f in enumerate(vocabulary)}
+    place, entries = {f: i for i, f in enumerate(vocabulary)}, set(lexicon)
 
     def encode(batches):
         of_piece = Kept(lambda p: tuple(place[f] for f in features(p) if f in place), KEPT_WORDS)
+        pack = lambda places: np.array(places, "<i2").tobytes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(sorted(_present(t, of_piece)), "<i2").tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["f"])
+            texts = b.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([pack(sorted(_present(t, of_piece))) for t in texts], pa.binary()), pa.array([pack(patterns(t, entries)) for t in texts], pa.binary())], names=["f", "p"])
 
-    x = np.zeros((toxic + clean, len(vocabulary)), np.float32)
-    for i, r in enumerate(rows.mapInArrow(encode, "f binary").toLocalIterator()):
-        x[i, np.frombuffer(r["f"], "<i2")] = 1
-    entries = x[:, : len(lexicon)]
+    encoded = [(np.frombuffer(r["f"], "<i2"), np.frombuffer(r["p"], "<i2")) for r in rows.mapInArrow(encode, "f binary, p binary").toLocalIterator()]
+    votes = np.zeros((len(encoded), len(lexicon) + len(PATTERNS) + 2 + 3), np.float32)
     words = np.array([not f.endswith("*") for f in lexicon])
-    none = [entries.any(axis=1), entries[:, words].any(axis=1), entries[:, ~words].any(axis=1)]
-    votes = np.concatenate([entries, *[-(~n)[:, None].astype(np.float32) for n in none]], axis=1)
+    for i, (f, p) in enumerate(encoded):
+        own = f[f < len(lexicon)]
+        votes[i, own] = 1
+        votes[i, len(lexicon) + p] = 1
+        votes[i, -3:] = [-float(none) for none in (not len(own), not words[own].any(), words[own].all())]
     posterior = LabelModel(prior=toxic / (toxic + clean)).fit(votes)
-    return Classifier(vocabulary, *logistic(x, posterior))
+    return Classifier(vocabulary, *logistic(Sparse([f for f, _ in encoded], len(vocabulary)), posterior))
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:

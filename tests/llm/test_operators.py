@@ -480,6 +480,57 @@ def test_toxicity_lexicon_is_of_whole_counts(spark):
     assert set(model.weights) == wanted | common
 
 
+def test_label_model_finds_rates():
+    """Votes drawn by known rates, one voter copied four times: the posterior's error is near that of the true model."""
+    draw = np.random.default_rng(8)
+    n, one, zero = 6000, np.array([0.7, 0.5, 0.6, 0.4, 0.3]), np.array([0.02, 0.01, 0.05, 0.02, 0.01])
+    truth = draw.random(n) < 0.2
+    fires = draw.random((n, 5)) < np.where(truth[:, None], one, zero)
+    votes = np.concatenate([fires, *[fires[:, :1]] * 4, -(~fires.any(axis=1, keepdims=True)).astype(float)], axis=1).astype(np.float32)
+    model = toxicity.LabelModel(prior=0.2)
+    posterior = model.fit(votes)
+    assert (posterior > 0.5).astype(bool)[truth].mean() > 0.85 and (posterior > 0.5).astype(bool)[~truth].mean() < 0.06
+    assert np.abs(model.rate1[:5] - one).max() < 0.12 and np.abs(model.rate0[:5] - zero).max() < 0.04
+    assert model.weight[0] < 0.3 < 0.6 < model.weight[1]
+
+
+def test_logistic_against_a_dense_fit():
+    draw = np.random.default_rng(9)
+    dense = (draw.random((400, 12)) < 0.3).astype(float)
+    target = 1 / (1 + np.exp(-(dense @ draw.normal(0, 2, 12) - 1)))
+    x = toxicity.Sparse([np.flatnonzero(r) for r in dense], 12)
+    assert np.allclose(x.dot(np.arange(12.0)), dense @ np.arange(12.0)) and np.allclose(x.back(target), dense.T @ target)
+    w, b = toxicity.logistic(x, target, l2=1.0)
+    error = 1 / (1 + np.exp(-(dense @ w + b))) - target
+    assert np.abs((dense.T @ error + w) / 400).max() < 2e-3 and abs(error.mean()) < 2e-3
+
+
+def test_toxicity_patterns():
+    entries = {"idiot", "clow*"}
+    wanted = {"you are an id10t": [0], "sooooo nice": [1], "what?!! no": [2], "GO AWAY NOW": [], "STOP THIS NOISE": [3], "you absolute idiot.": [4], "clowns, clowns and an idiot": [5], "you utter clown you idiot idiot": [4, 5], "": [], "a calm text of 2024": []}
+    assert {t: toxicity.patterns(t, entries) for t in wanted} == wanted
+
+
+def test_toxicity_of_odd_texts(spark):
+    """Null and empty texts get the bias only; a repeated doc_id is learned from once; brute-force scores of all others."""
+    texts = [(i, "you stupid idiot " + "plain " * (i % 3), 1) for i in range(60)] + [(i, "calm plain words here", 0) for i in range(100, 260)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts] + [(3, "zzz")] * 50 + [(500, None), (501, ""), (None, "idiot"), (502, "idiot " * 300_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in texts] + [(3, 1), (700, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    none = 1 / (1 + math.exp(-model.bias))
+    for r in toxicity.score(docs, model).collect():
+        present = {f for piece in (r["text"] or "").split() for f in toxicity.features(piece)}
+        wanted = 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in present))))
+        assert abs(r["score"] - wanted) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not r["text"]:
+            assert abs(r["score"] - none) < 1e-12 and r["predicted"] == 0
+        if r["text"] and "idiot" in r["text"]:
+            assert r["predicted"] == 1
+    nothing = toxicity.learn(docs, labels.where("toxic = 1"))
+    assert {round(r["score"], 9) for r in toxicity.score(docs, nothing).collect()} == {0.0}
+
+
 def test_viterbi_against_all_paths():
     """Where two changes' gains share one cost, too; scores are whole numbers, so totals compare exactly."""
     draw = np.random.default_rng(4)
@@ -571,6 +622,86 @@ def test_spans_of_mixed_text(spark):
     assert langid.Labeller(model).text(text)[2] == [(0, 18, "en"), (18, 34, "ru")]
 
 
+# --- the pipeline
+
+
+PIPELINE = [(i, f"{t} {n}", lang, src, 1) for i, (t, n, lang, src) in enumerate(
+    [("the cat sat on the mat with those things and then it slept", n, "en", "web") for n in range(30)] + [("это простой текст на русском языке и ничего больше", n, "ru", "book") for n in range(30)]
+)]
+
+
+def wanted_pipeline(docs):
+    """doc_id -> rows and digests, each stage by brute force: its rows, its groups, its copies, the library's ids."""
+    letters = [d for d in docs if any(c.isalpha() for c in d[1] or "")]
+    exact_ = defaultdict(list)
+    for d in letters:
+        exact_[SPACE.sub("", d[1])].append((-len(d[1]), d[0] is None, d[0] or 0, d))
+    kept = [min(g, key=lambda x: x[:3])[3] for g in exact_.values()]
+    sets, root = [sets_of(d[1]) for d in kept], list(range(len(kept)))
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = root[i], root[j]
+                root = [x if r == y else r for r in root]
+    groups = defaultdict(list)
+    for d, r in zip(kept, root, strict=True):
+        groups[r].append((d[0] is None, d[0] or 0, d))
+    kept = [min(g, key=lambda x: x[:2])[2] for g in groups.values()]
+    mass = Counter()
+    for d in kept:
+        mass[d[3]] += len(d[1]) + 1
+    weight = {s: m**0.7 for s, m in mass.items()}
+    library, out = Tokenizer.from_file(WORDS), Counter()
+    for d in kept:
+        ids = library.encode(d[1], add_special_tokens=False).ids
+        rate = weight[d[3]] / sum(weight.values()) * sum(mass.values()) / mass[d[3]]
+        key = (d[0], d[3], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        if n := copies_of(d[0], rate):
+            out[key] += n
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The whole chain over odd rows, with a column more and one whose name an operator uses: stages, order, rows, digests."""
+    base = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120))
+    near = [(200, base, "en", "web", 1), (201, base.replace("wordka", "other"), "en", "book", 1), (202, base + " tail", "en", "web", 1), (203, base.upper(), "en", "book", 1)]
+    odd = [(r[0] + 1000 if r[0] is not None else None, *r[1:]) for r in MESS]
+    docs = PIPELINE + near + odd
+    path = tmp_path / "documents.parquet"
+    spark.createDataFrame([(*d, "x", 1.5) for d in docs], SCHEMA + ", keep_id string, _row double").repartition(3).write.parquet(str(path))
+    found = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_duplicates", "near_duplicates", "mixture", "tokens"]
+    assert Counter((r["doc_id"], r["source"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found) == wanted_pipeline(docs)
+    stages, now = dict(corpus_pipeline.STAGES), spark.read.parquet(f"file://{path}")
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, now, "").columns == now.columns
+        assert stages[name](spark, now.limit(0), "").collect() == []
+
+
+def test_near_copies_that_the_pipeline_catches(spark):
+    """Recall on planted copies of 60 to 400 words with one to many words changed, whose similarity is 0.8 or more: all."""
+    draw = np.random.default_rng(11)
+    rows_, originals = [], []
+    for i in range(300):
+        n = int(draw.integers(60, 400))
+        base = [f"w{x}" for x in draw.integers(20_000, size=n)]
+        copy = list(base)
+        while True:
+            changed = list(copy)
+            changed[int(draw.integers(n))] = f"x{draw.integers(20_000)}"
+            a, b = sets_of(" ".join(base)), sets_of(" ".join(changed))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            copy = changed
+            if draw.random() < 0.2:
+                break
+        rows_ += [(2 * i, " ".join(base), "en", "s", 1), (2 * i + 1, " ".join(copy), "en", "s", 1)]
+        originals.append(2 * i)
+    kept = {r["doc_id"] for r in similar.similar_dedup(spark.createDataFrame(rows_, SCHEMA).repartition(4)).collect()}
+    assert set(originals) <= kept
+    assert len(kept) - len(originals) <= 0.01 * len(originals)
+
+
 # --- any operator
 
 
