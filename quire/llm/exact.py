@@ -145,23 +145,32 @@ def _groups(rows: DataFrame, flush_rows: int) -> DataFrame:
 
 
 def _may_hit(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows whose key a Bloom filter of the groups' keys may hold, if the filter fits FILTER_BYTES; else all rows."""
-    n = groups.count()
-    bits = 1 << max(10, int(16 * n).bit_length())
-    if bits // 8 > FILTER_BYTES:
-        return rows
+    """The rows whose key a Bloom filter of the groups' keys may hold.
+
+    The filter has 16 bits a key, up to FILTER_BYTES; beyond, it holds back fewer of the rows that hit nothing, and the join
+    that follows drops the rest. It reaches the driver as bytes, in parts of at most a megabyte.
+    """
+    bits = min(8 * FILTER_BYTES, 1 << max(10, int(16 * groups.count()).bit_length()))
+    part = min(bits, 1 << 23)
     places = lambda key: F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(4)])
-    words = groups.select(F.explode(places(F.col("_key"))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("set"))
-    held = np.zeros(bits // 64, np.int64)
-    for r in words.collect():  # bits / 64 rows at most
-        held[r["word"]] = r["set"]
+
+    def packed(key: tuple, at: pa.Table) -> pa.Table:
+        held = np.zeros(part, bool)
+        held[at["at"].to_numpy()] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    set_ = groups.select(F.explode(places(F.col("_key"))).alias("place")).distinct().select(F.floor(F.col("place") / part).alias("part"), (F.col("place") % part).alias("at"))
+    held = np.zeros(bits // 8, np.uint8)
+    for r in set_.groupBy("part").applyInArrow(packed, "part long, held binary").toLocalIterator():
+        held[r["part"] * (part // 8) : (r["part"] + 1) * (part // 8)] = np.frombuffer(r["held"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(held)
 
     @F.pandas_udf("boolean")
     def may_hold(at):  # type: ignore[no-untyped-def]
         import pandas as pd
 
         at = np.stack(at.to_numpy()) if len(at) else np.zeros((0, 4), np.int64)
-        return pd.Series((held[at >> 6] >> (at & 63) & 1).astype(bool).all(axis=1))
+        return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool).all(axis=1))
 
     return rows.where(may_hold(places(F.col("_key"))))
 

@@ -76,6 +76,26 @@ def test_exact_groups(which, digest_bytes, request):
     assert sum(r["kept"] for r in found) == len({SPACE.sub("", t or "") for _, t in listed(df)})
 
 
+def test_exact_with_a_full_filter(spark, mess, monkeypatch):
+    """A filter too small for its keys lets more rows through, and changes nothing; rows without a doc_id rank last."""
+    df = mess.unionByName(spark.createDataFrame([(i, f"text {i // 2}", "en", "s", 1) for i in range(2000, 6000)], SCHEMA))
+    monkeypatch.setattr(exact, "FILTER_BYTES", 128)
+    found = exact.exact_groups(df).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["text_sha256"]) for r in found) == sorted((d[0], d[1] or 0, d[2] or 0, *d[3:]) for d in wanted_exact_all(listed(df)))
+    assert sum(r["kept"] for r in found) == len({SPACE.sub("", t or "") for _, t in listed(df)})
+
+
+def wanted_exact_all(texts):
+    """As wanted_exact(), rows without a doc_id too."""
+    groups = defaultdict(list)
+    for doc, text in texts:
+        groups[SPACE.sub("", text or "")].append((-len(text or ""), doc is None, doc or 0))
+    for norm, own in groups.items():
+        least = min(own)
+        for _, none, doc in own:
+            yield (not none, None if none else doc, None if least[1] else least[2], len(own), hashlib.sha256(norm.encode()).hexdigest())
+
+
 # --- near duplicates
 
 
