@@ -12,7 +12,7 @@ order of doc_id and may span blocks. Files are written to the shared folder unde
 files that the tasks return says which of them count.
 
 Texts are encoded by the tokenizers library. Its splitting pattern never looks back past a blank that follows something
-else, nor past a sign that follows a letter, so texts are cut there; the distinct pieces of many texts go to the library
+else, nor past a line feed or a sign that follows a letter, so texts are cut there; the distinct pieces of many texts go to the library
 together, and the ids of those that come again are kept in a table of bounded size.
 
 Cases: null text counts as empty, and a document of no ids still has its end id; a null doc_id sorts first; rows that
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
 import os
 import re
 import struct
@@ -42,10 +43,10 @@ from quire.llm.common import new_path, small_batches, written
 
 BLOCK = 1 << 19
 STEPS = 256  # of a lane, at most
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 #: Texts are encoded together up to so many characters; a longer one alone.
 GROUP_CHARACTERS = 1 << 22
-_BLANK = "\u0120"  # stands for a blank in byte-level vocabularies
+_BLANK, _LINE = "\u0120", "\u010a"  # stand for a blank and a line feed in byte-level vocabularies
 _MAGIC = b"QTOKENS1"
 _BASE = 18  # bits of the order-0 distribution
 _MIX = 6  # bits of the mixture
@@ -314,10 +315,11 @@ def read_documents(source) -> Iterator[tuple[int | None, Iterator[np.ndarray]]]:
 class Encoder:
     """Ids of texts by the tokenizers library, with those of words that come again kept."""
 
-    #: A blank that follows white space; and where to cut a text that has one.
-    _UNSAFE, _CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
-    #: Signs that end a word: where one follows a letter or digit the splitting pattern cuts too.
-    _SIGNS = ".,;:!?#%*"
+    #: White space that follows white space; and where to cut a text that has such.
+    _UNSAFE, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?= )")
+    #: Signs that end a word: where one follows a letter or digit (of those that all versions of Unicode know) the
+    #: splitting pattern cuts too.
+    _SIGNS, _KNOWN_END = ".,;:!?#%*", "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -328,71 +330,89 @@ class Encoder:
         self.library.no_padding()
         names = self.library.get_vocab(with_added_tokens=True)
         self.size = max(names.values()) + 1
-        self.blank = np.zeros(self.size, bool)  # tokens that begin with a blank
-        self.blank[[i for name, i in names.items() if name.startswith(_BLANK)]] = True
+        begins = lambda sign: np.bincount([i for name, i in names.items() if name.startswith(sign)], minlength=self.size) > 0
+        self.blank, self.line = begins(_BLANK), begins(_LINE)  # tokens that begin with a blank, or a line feed
         special = "".join(t.content for t in self.library.get_added_tokens_decoder().values())
         self.signs = "".join(c for c in self._SIGNS if c not in special)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}  # of a piece; its ids are self.ids[begin : begin + length]
-        self.begin, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        # the numbers of words after a blank (or a line feed, which they show), and of pieces as they are; the ids of one are self.ids[begin : begin + length]
+        self.word: dict[str, int] = {}
+        self.piece: dict[str, int] = {}
+        self.begin, self.length, self.many = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Numbers pieces; ids holds theirs, one after the other."""
-        at, n = len(self.number), len(pieces)
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """New numbers for pieces of the given sizes; ids holds theirs, one after the other."""
+        at, n = self.many, len(sizes)
         self.begin, self.length, self.ids = _room(self.begin, at + n), _room(self.length, at + n), _room(self.ids, self.used + len(ids))
         self.length[at : at + n] = sizes
         self.begin[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.number.update(zip(pieces, range(at, at + n), strict=True))
-
-    def _encoded(self, pieces: list[str]) -> None:
-        """Numbers pieces (each once, none of them numbered) by the library."""
-        # pieces that a blank begins and none ends are encoded as one text, in which each begins where a blank does
-        joined, alone = [], []
-        for p in pieces:
-            (joined if p[:1] == " " and not p[-1].isspace() and not p[1:2].isspace() else alone).append(p)
-        for at in range(0, len(joined), 10_000):
-            part = joined[at : at + 10_000]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            begins = np.flatnonzero(self.blank[ids])
-            if len(begins) == len(part) and begins[0] == 0:
-                self._keep(part, ids, np.diff(begins, append=len(ids)))
-            else:
-                alone += part
+        self.many += n
+        return range(at, at + n)
+
+    def _alone(self, pieces: list[str]) -> range:
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        return self._keep(np.array([i for own in found for i in own], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _pieces(self, pieces: list[str]) -> list[int]:
+        """The numbers of pieces, encoded as they are."""
+        if new := [p for p in dict.fromkeys(pieces) if p not in self.piece]:
+            self.piece.update(zip(new, self._alone(new), strict=True))
+        return list(map(self.piece.__getitem__, pieces))
+
+    def _new_words(self, words: pa.Array) -> None:
+        """Numbers words (each once, none of them numbered), each with what is before it, by the library."""
+        # words without white space at an end are encoded as one text, in which each begins where what is before it does
+        lines = pc.starts_with(words, "\n")
+        bare = pc.if_else(lines, pc.utf8_slice_codeunits(words, 1), words)
+        joins = pc.and_(pc.not_equal(bare, ""), pc.equal(bare, pc.utf8_trim_whitespace(bare)))
+        listed = lambda mask: words.filter(mask).to_numpy(zero_copy_only=False).tolist()
+        alone = listed(pc.invert(joins))
+        for all_, begins_word, before in ((listed(pc.and_(joins, pc.invert(lines))), self.blank, " "), (listed(pc.and_(joins, lines)), self.line, "")):
+            for at in range(0, len(all_), 10_000):
+                part = all_[at : at + 10_000]
+                ids = np.array(self.library.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                begins = np.flatnonzero(begins_word[ids])
+                if len(begins) == len(part) and begins[0] == 0:
+                    self.word.update(zip(part, self._keep(ids, np.diff(begins, append=len(ids))), strict=True))
+                else:
+                    alone += part
         for at in range(0, len(alone), 10_000):
             part = alone[at : at + 10_000]
-            found = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            self._keep(part, np.array([i for own in found for i in own], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """The numbers of pieces (each once)."""
-        get = self.number.get
-        found = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        missing = np.flatnonzero(found < 0).tolist()
-        if missing:
-            cut, new = {}, {}
-            for i in missing:
-                p = pieces[i]
-                stem = p.rstrip(self.signs)
-                # signs after a letter or a digit that all versions of Unicode know are words of their own to the library
-                if len(stem) < len(p) and stem and stem[-1] < "\u0250" and stem[-1].isalnum():
-                    cut[i] = len(stem)
-                    new[stem], new[p[len(stem) :]] = None, None
-                else:
-                    new[p] = None
-            self._encoded([p for p in new if p not in self.number])
-            if cut:
-                stems, ends = (np.fromiter((get(pieces[i][a:b]) for i, n in cut.items() for a, b in [(0, n) if side == 0 else (n, None)]), np.int64, len(cut)) for side in (0, 1))
-                sizes = np.stack([self.length[stems], self.length[ends]], axis=1)
-                ids = self.ids[_spread(np.stack([self.begin[stems], self.begin[ends]], axis=1).ravel(), sizes.ravel())]
-                self._keep([pieces[i] for i in cut], ids, sizes.sum(axis=1))
-            found[missing] = [get(pieces[i]) for i in missing]
+            self.word.update(zip(part, self._alone([w if w[:1] == "\n" else " " + w for w in part]), strict=True))
+
+    def _words(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words (each once), each with a blank before it."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        found = self._numbered(names)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            words = words.take(pa.array(missing))
+            stems = pc.utf8_rtrim(words, characters=self.signs)
+            cut = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, self._KNOWN_END))
+            stems = pc.if_else(cut, stems, words).dictionary_encode()
+            new = self._numbered(stems.dictionary.to_numpy(zero_copy_only=False).tolist()) < 0
+            self._new_words(stems.dictionary.filter(pa.array(new)))
+            stem_names = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found[missing] = self._numbered(stem_names)[stems.indices.to_numpy()]
+            if len(at := missing[cut.to_numpy(zero_copy_only=False)]):
+                sizes = pc.utf8_length(stems.cast(words.type).filter(cut)).to_numpy().tolist()
+                whole = [names[i] for i in at.tolist()]
+                ends = np.array(self._pieces([w[n:] for w, n in zip(whole, sizes, strict=True)]))
+                parts = np.stack([found[at], ends], axis=1)
+                ids = self.ids[_spread(self.begin[parts].ravel(), self.length[parts].ravel())]
+                numbers = self._keep(ids, self.length[parts].sum(axis=1))
+                self.word.update(zip(whole, numbers, strict=True))
+                found[at] = numbers
         return found
 
+    def _numbered(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.word.get, names, itertools.repeat(-1)), np.int64, len(names))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text its ids, as unsigned 32-bit integers."""
         out: list[np.ndarray] = []
@@ -407,30 +427,24 @@ class Encoder:
         return out
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > KEPT_PIECES:
+        if self.many > KEPT_PIECES:
             self._forget()
-        # texts that can be cut at every blank; four signs are white space to one pattern engine, not to the other
-        plain = [not any(c in t for c in "\x1c\x1d\x1e\x1f") and self._UNSAFE.search(t) is None for t in texts]
-        others = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else self._CUT.split(t) for t, p in zip(texts, plain, strict=True) if not p]
-        words = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()), " ")
-        coded = words.flatten().dictionary_encode()
-        edges = words.offsets.to_numpy()
-        numbers = self._numbers([" " + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()])[coded.indices.to_numpy()]
-        first = {t: None for t, p in zip((t.split(" ", 1)[0] for t in texts), plain, strict=True) if p}
-        of_first = dict(zip(first, self._numbers(list(first)).tolist(), strict=True))
-        numbers[edges[:-1]] = [of_first[t.split(" ", 1)[0]] if p else -1 for t, p in zip(texts, plain, strict=True)]
-        numbers = numbers[numbers >= 0] if others else numbers
-        words_of = np.where(plain, np.diff(edges), 0)
+        # texts that can be cut at every blank and line feed; four signs are white space to one pattern engine, not to the other
+        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
+        plain = [not o and self._UNSAFE.search(t) is None for t, o in zip(texts, odd, strict=True)]
+        shown = [t.replace("\n", " \n") if p else "" for t, p in zip(texts, plain, strict=True)]
+        split = pc.split_pattern(pa.array(shown, pa.large_string()), " ")
+        coded, edges = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        numbers = self._words(coded.dictionary)[coded.indices.to_numpy()]
+        # what begins a text has no blank before it; texts that aren't plain have one piece here, which isn't theirs
+        numbers[edges[:-1]] = self._pieces([t.split(" ", 1)[0] for t in shown])
         sizes = self.length[numbers]
         ids = self.ids[_spread(self.begin[numbers], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words_of)])].tolist()
-        rest = iter(others)
-        return [ids[a:b] if p else self._apart(next(rest)) for p, a, b in zip(plain, ends, ends[1:], strict=False)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[edges].tolist()
+        return [ids[a:b] if p else self._apart([t] if o else self._CUT.split(t)) for t, o, p, a, b in zip(texts, odd, plain, ends, ends[1:], strict=False)]
 
     def _apart(self, pieces: list[str]) -> np.ndarray:
-        numbers = dict.fromkeys(pieces)
-        numbers = dict(zip(numbers, self._numbers(list(numbers)).tolist(), strict=True))
-        at = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
+        at = np.array(self._pieces(pieces), np.int64)
         return self.ids[_spread(self.begin[at], self.length[at])]
 
 

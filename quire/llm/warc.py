@@ -357,6 +357,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = new_path(pages.sparkSession, "warc")
     places = pages_to_arc(pages, folder)
     files = convert(places.select("path"), folder, min_bytes, places.withColumnRenamed("page_id", "rank"))
-    records = written(read_back(files, folder).join(places.select("record_id", "page_id"), "record_id"), "warc-records")
+    # a list of files grows into records: what Spark takes for their size would have them broadcast
+    records = written(read_back(files, folder).hint("merge").join(places.select("record_id", "page_id"), "record_id"), "warc-records")
     targets = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
     return records.join(targets, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")
