@@ -35,12 +35,14 @@ def find(docs: DataFrame, term: str, match_case: bool = True) -> DataFrame:
     """doc_id, hit (from 0), position (from 0) of each occurrence."""
     if not term:
         return docs.select("doc_id", F.lit(0).alias("hit"), F.lit(0).alias("position")).where(F.lit(False))
-    before = F.split("text", pattern(term, match_case))
-    return (
-        docs.where(F.col("text").isNotNull())
-        .select("doc_id", F.slice(before, F.lit(1), F.size(before) - 1).alias("parts"))
-        .select("doc_id", F.posexplode(F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x)) + i * len(term))).alias("hit", "position"))
-    )
+    parts = F.split("text", pattern(term, match_case))
+    has = docs.where(F.col("text").isNotNull() & F.regexp_like("text", F.lit(pattern(term, match_case))))
+    numbered = has.select(F.monotonically_increasing_id().alias("_row"), "doc_id", parts.alias("_parts"))
+    pieces = numbered.select("_row", "doc_id", F.posexplode("_parts").alias("hit", "_part"), F.size("_parts").alias("_n"))
+    # where a part ends, a hit begins: a running sum over the parts of a text
+    window = Window.partitionBy("_row").orderBy("hit")
+    length = F.sum(F.length("_part")).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return pieces.withColumn("position", (length + F.col("hit") * len(term)).cast("int")).where(F.col("hit") < F.col("_n") - 1).select("doc_id", "hit", "position")
 
 
 def count_matches(docs: DataFrame, term: str, match_case: bool = True) -> DataFrame:
@@ -67,12 +69,12 @@ def redact(docs: DataFrame, regex: str, sign: str = "█") -> DataFrame:
 
 def redact_term(docs: DataFrame, term: str, match_case: bool = True, pages: list[int] | None = None) -> DataFrame:
     """As redact(), of a term; only on the listed doc_ids, where any are listed."""
-    out = redact(docs, pattern(term, match_case))
-    if not pages:
-        return out
-    chosen = F.col("doc_id").isin(pages)
-    plain = docs.select("doc_id", F.col("text").alias("_plain"))
-    return out.join(plain, "doc_id").withColumn("text", F.when(chosen, F.col("text")).otherwise(F.col("_plain"))).withColumn("n_redacted", F.when(chosen, F.col("n_redacted")).otherwise(0)).drop("_plain")
+    if not term:
+        return docs.withColumn("n_redacted", F.lit(0))
+    chosen = F.coalesce(F.col("doc_id").isin(pages), F.lit(False)) if pages else F.lit(True)
+    kept = docs.withColumn("_plain", F.col("text")).withColumn("_chosen", chosen)
+    out = redact(kept, pattern(term, match_case))
+    return out.withColumn("text", F.when(F.col("_chosen"), F.col("text")).otherwise(F.col("_plain"))).withColumn("n_redacted", F.when(F.col("_chosen"), F.col("n_redacted")).otherwise(0)).drop("_plain", "_chosen")
 
 
 def redact_pages(docs: DataFrame, pages: list[int]) -> DataFrame:
@@ -83,10 +85,8 @@ def redact_pages(docs: DataFrame, pages: list[int]) -> DataFrame:
 def next_hit_page(pages: DataFrame, term: str, start: int, key: str = "doc_id") -> DataFrame:
     """Of each document (key: page) the first page after `start` that has the term, from the beginning after the last, start itself last."""
     found = pages.withColumn("n_hits", hits("text", term)).where("n_hits > 0")
-    span = F.max(F.col("page_no")).over(Window.partitionBy(key)) + 1
     total = pages.groupBy(key).agg((F.max("page_no") + 1).alias("_n"))
     away = F.pmod(F.col("page_no") - start - 1, F.col("_n"))
-    del span
     return found.join(total, key).groupBy(key).agg(F.min_by(F.struct("page_no", "n_hits"), away).alias("h")).select(key, "h.page_no", "h.n_hits")
 
 

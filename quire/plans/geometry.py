@@ -84,9 +84,9 @@ def a6_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_WITH + """
-SELECT doc_id, greatest(18.0, least(min(x0), 210.0)) AS "left", greatest(18.0, least(600.0 - max(x1), 210.0)) AS "right", greatest(18.0, least(min(y0), 240.0)) AS top, greatest(18.0, least(800.0 - max(y1), 240.0)) AS bottom FROM b WHERE ord % 3 > 0 GROUP BY doc_id""")
+SELECT doc_id, greatest(18.0, least(min(x0), 210.0)) AS "left", greatest(18.0, least(600.0 - max(x1), 210.0)) AS "right", greatest(18.0, least(min(y0), 240.0)) AS top, greatest(18.0, least(800.0 - max(y1), 240.0)) AS bottom FROM b GROUP BY doc_id""")
 def a7_margins(spark: SparkSession, folder: str) -> DataFrame:
-    return relate.margins(boxes(spark, folder).where("ord % 3 > 0"), 600.0, 800.0)
+    return relate.margins(boxes(spark, folder), 600.0, 800.0)
 
 
 @query("""

@@ -12,7 +12,9 @@ from quire.sources.tables import BOXES_SQL, boxes, table, turns
 
 @query()
 def a17_regions(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.regions(boxes(spark, folder), shapes=3)
+    drawings = boxes(spark, folder)
+    pages = drawings.select("doc_id", "page_no").distinct().select("*", F.lit(700.0).alias("width"), F.lit(900.0).alias("height"))
+    return layout.regions(drawings, pages, shapes=3)
 
 
 @query()
@@ -49,7 +51,8 @@ def j19_compare(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def j15_underlined(spark: SparkSession, folder: str) -> DataFrame:
     all_ = boxes(spark, folder)
-    return layout.underlined(all_.where("ord % 5 > 0"), all_.where("ord % 5 = 0"))
+    rows = all_.where("ord % 5 > 0").select("doc_id", "page_no", "ord", "y1", F.col("x0").alias("left"), F.col("x1").alias("right"))
+    return layout.underlined(rows, all_.where("ord % 5 = 0")).select("doc_id", "page_no", "ord", F.array_join("rules", ",").alias("rules"), "style", "size")
 
 
 @query("""
@@ -63,9 +66,13 @@ def e3_blanks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH b AS ({BOXES_SQL}), s AS (
-  SELECT CAST(round_even(10 + ord % 4, 0) AS INTEGER) AS size, lead(y0) OVER (PARTITION BY doc_id, page_no ORDER BY y0, ord) - y0 AS d, 10.0 + ord % 4 AS z FROM b
-), r AS (SELECT size, d, row_number() OVER (PARTITION BY size ORDER BY d) AS k, count(*) OVER (PARTITION BY size) AS n FROM s WHERE d > 0.8 * z AND d < 3 * z)
-SELECT size, d AS pitch FROM r WHERE k = n // 2 + 1
+  SELECT doc_id, CAST(round_even(10 + ord % 4, 0) AS INTEGER) AS size, lead(y0) OVER (PARTITION BY doc_id, page_no ORDER BY y0, ord) - y0 AS d, 10.0 + ord % 4 AS z FROM b
+), u AS (SELECT * FROM s WHERE d > 0.8 * z AND d < 3 * z),
+r AS (SELECT doc_id, size, d, row_number() OVER (PARTITION BY doc_id, size ORDER BY d) AS k, count(*) OVER (PARTITION BY doc_id, size) AS n FROM u),
+q AS (SELECT doc_id, d / size AS ratio, row_number() OVER (PARTITION BY doc_id ORDER BY d / size) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM u),
+a AS (SELECT DISTINCT doc_id, size FROM s)
+SELECT a.doc_id, a.size, coalesce(r.d, q.ratio * a.size) AS pitch
+FROM a LEFT JOIN r ON a.doc_id = r.doc_id AND a.size = r.size AND r.k = r.n // 2 + 1 LEFT JOIN q ON a.doc_id = q.doc_id AND q.k = q.n // 2 + 1
 """)
 def a5_pitches(spark: SparkSession, folder: str) -> DataFrame:
     rows = boxes(spark, folder).select("doc_id", F.col("page_no").alias("para_no"), F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("y0", "ord")).alias("row_no"), "y0", (10.0 + F.col("ord") % 4).alias("size"))
