@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quire.functions.text import furniture_key, is_page_number
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The same matches without trying again at each character of a long word, for engines with look-behind.
+EMAIL_ONCE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"(?:https?://|www\.)[^\s<>\"']*[^\s<>\"'.,;:!?)\]]"
 
 
@@ -59,12 +61,12 @@ def replace_text(docs: DataFrame, term: str, by: str, match_case: bool = True) -
 
 
 def redact(docs: DataFrame, regex: str, sign: str = "█") -> DataFrame:
-    """docs with every match covered by as many signs as it has characters, and their number."""
+    """docs with every match covered by as many signs as it has characters, and their number; texts without a match stay as they are."""
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({regex})"), 1)
     between = F.split(F.coalesce("text", F.lit("")), regex)
     covered = F.transform(found, lambda m: F.repeat(F.lit(sign), F.length(m)))
     text = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.try_element_at(covered, i + 1), F.lit("")))), "")
-    return docs.withColumn("n_redacted", F.size(found)).withColumn("text", F.when(F.col("text").isNotNull(), text))
+    return docs.withColumn("n_redacted", F.size(found)).withColumn("text", F.when(F.col("n_redacted") > 0, text).otherwise(F.col("text")))
 
 
 def redact_term(docs: DataFrame, term: str, match_case: bool = True, pages: list[int] | None = None) -> DataFrame:

@@ -72,7 +72,7 @@ WITH f AS (SELECT doc_id, text, regexp_extract_all(text, '{search.EMAIL}') AS fo
 SELECT doc_id, CAST(len(found) AS INTEGER) AS n_redacted, array_to_string([parts[i] || coalesce(repeat('█', length(found[i])), '') for i in range(1, len(parts) + 1)], '') AS text FROM f
 """)
 def c6_redact_emails(spark: SparkSession, folder: str) -> DataFrame:
-    return search.redact(_docs(spark, folder), search.EMAIL).select("doc_id", "n_redacted", "text")
+    return search.redact(_docs(spark, folder), search.EMAIL_ONCE).select("doc_id", "n_redacted", "text")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id IN (1, 5, 7) THEN '' ELSE text END AS text FROM documents")
@@ -142,12 +142,13 @@ def a3_commonest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT doc_id, source, text FROM documents), a AS (SELECT text, lang FROM documents WHERE source = 'src0'), c AS (SELECT text, lang FROM documents WHERE source = 'src1')
+WITH b AS (SELECT doc_id, source, text FROM documents), a AS (SELECT text, lang FROM documents WHERE regexp_matches(coalesce(source, ''), '[02468]$')), c AS (SELECT text, lang FROM documents WHERE NOT regexp_matches(coalesce(source, ''), '[02468]$'))
 SELECT text, lang, 'old' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM c) UNION ALL SELECT text, lang, 'new' AS side FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM a)
 """)
 def u2_bag_difference(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _docs(spark, folder)
-    return relate.bag_difference(docs.where("source = 'src0'").select("text", "lang"), docs.where("source = 'src1'").select("text", "lang"))
+    """Sources of even numbers against the others."""
+    docs, even = _docs(spark, folder), F.coalesce("source", F.lit("")).rlike("[02468]$")
+    return relate.bag_difference(docs.where(even).select("text", "lang"), docs.where(~even).select("text", "lang"))
 
 
 @query("""

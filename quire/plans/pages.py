@@ -174,10 +174,11 @@ def t1_recent(spark: SparkSession, folder: str) -> DataFrame:
     return P.recent(table(spark, folder, "documents").select("source", "doc_id"), "source", "doc_id", 6)
 
 
-@query("SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents WHERE doc_id <= 500) WHERE n = 1")
+@query("SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents WHERE doc_id <= (SELECT max(doc_id) // 2 FROM documents)) WHERE n = 1")
 def u9_state_at(spark: SparkSession, folder: str) -> DataFrame:
     log = table(spark, folder, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("version"), "lang")
-    return P.state_at(log, 500).select(F.col("version").alias("doc_id"), F.col("doc_id").alias("source"), "lang")
+    cursor = log.agg(F.max("version")).first()[0]
+    return P.state_at(log, (cursor or 0) // 2).select(F.col("version").alias("doc_id"), F.col("doc_id").alias("source"), "lang")
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '^.*[/\\\\]', ''), '(.)\\.[^.]*$', '\\1') || '__' || substr(md5(url), 1, 8) AS version_key FROM pages")
