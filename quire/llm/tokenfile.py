@@ -43,6 +43,7 @@ from quire.llm.common import new_path, small_batches, written
 
 BLOCK = 1 << 19
 STEPS = 256  # of a lane, at most
+#: Pieces kept at a time; beyond it only those are kept on that came again, if they are at most half as many.
 KEPT_PIECES = 1_000_000
 #: Texts are encoded together up to so many characters; a longer one alone.
 GROUP_CHARACTERS = 1 << 22
@@ -108,24 +109,21 @@ class Mixture:
         begin *= self.w0
         begin += self.edge0
         size *= self.w0
-        np.copyto(begin, self.edge1, where=by1)
-        np.copyto(size, self.edge0 - self.edge1, where=by1)
-        np.copyto(begin, 0, where=by2)
-        np.copyto(size, self.edge1, where=by2)
-        return begin, size
+        begin = np.where(by2, 0, np.where(by1, self.edge1, begin))
+        return begin, np.where(by2, self.edge1, np.where(by1, self.edge0 - self.edge1, size))
 
     def learn(self, ids: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
         fresh = ids << 2
         self.two[self.slot] = self._followed(self.was2, self.sure2, by2, fresh)
         self.one[self.last] = self._followed(self.was1, self.sure1, self.id1 == ids, fresh)
-        self.outcomes.append(self.context * 3 + np.where(by2, 0, 2 - by1))
+        self.outcomes.append(self.context * 3 + (2 - by1.view(np.int8) - 2 * by2.view(np.int8)))
         self.recent.append(ids)
         self.steps += 1
         if self.steps == self.rebuild_at:
             self.counts += np.bincount(np.concatenate(self.recent), minlength=self.size)
             self.right += np.bincount(np.concatenate(self.outcomes), minlength=48).reshape(16, 3)
             self.recent, self.outcomes = [], []
-            self.rebuild_at = self.steps + min(16, self.steps)
+            self.rebuild_at = self.steps + min(32, self.steps)
             self._base()
             self._shares()
 
@@ -315,8 +313,9 @@ def read_documents(source) -> Iterator[tuple[int | None, Iterator[np.ndarray]]]:
 class Encoder:
     """Ids of texts by the tokenizers library, with those of words that come again kept."""
 
-    #: White space that follows white space; and where to cut a text that has such.
-    _UNSAFE, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?= )")
+    #: White space that follows white space; four signs that are white space to one pattern engine, not to the other; and
+    #: where to cut a text that has white space after white space.
+    _UNSAFE, _ODD, _CUT = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]{2}", r"[\x1c-\x1f]", re.compile(r"(?<=\S)(?= )")
     #: Signs that end a word: where one follows a letter or digit (of those that all versions of Unicode know) the
     #: splitting pattern cuts too.
     _SIGNS, _KNOWN_END = ".,;:!?#%*", "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
@@ -341,12 +340,24 @@ class Encoder:
         self.word: dict[str, int] = {}
         self.piece: dict[str, int] = {}
         self.begin, self.length, self.many = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.again = np.zeros(1024, bool)  # was asked for after it was numbered
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
+    def _shrink(self) -> None:
+        """Forgets pieces that did not come again since they were numbered, or since the last time."""
+        kept = [[(p, i) for p, i in known.items() if self.again[i]] for known in (self.word, self.piece)]
+        begin, length, ids = self.begin, self.length, self.ids
+        self._forget()
+        if 2 * sum(map(len, kept)) <= KEPT_PIECES:
+            for known, pairs in zip((self.word, self.piece), kept, strict=True):
+                at = np.fromiter((i for _, i in pairs), np.int64, len(pairs))
+                known.update(zip((p for p, _ in pairs), self._keep(ids[_spread(begin[at], length[at])], length[at]), strict=True))
+
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> range:
         """New numbers for pieces of the given sizes; ids holds theirs, one after the other."""
         at, n = self.many, len(sizes)
         self.begin, self.length, self.ids = _room(self.begin, at + n), _room(self.length, at + n), _room(self.ids, self.used + len(ids))
+        self.again = _room(self.again, at + n)
         self.length[at : at + n] = sizes
         self.begin[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(ids)] = ids
@@ -360,9 +371,14 @@ class Encoder:
 
     def _pieces(self, pieces: list[str]) -> list[int]:
         """The numbers of pieces, encoded as they are."""
+        at = self.many
         if new := [p for p in dict.fromkeys(pieces) if p not in self.piece]:
             self.piece.update(zip(new, self._alone(new), strict=True))
-        return list(map(self.piece.__getitem__, pieces))
+        numbers = list(map(self.piece.__getitem__, pieces))
+        if len(new) < len(pieces):
+            came = np.array(numbers)
+            self.again[came[came < at]] = True
+        return numbers
 
     def _new_words(self, words: pa.Array) -> None:
         """Numbers words (each once, none of them numbered), each with what is before it, by the library."""
@@ -375,7 +391,10 @@ class Encoder:
         for all_, begins_word, before in ((listed(pc.and_(joins, pc.invert(lines))), self.blank, " "), (listed(pc.and_(joins, lines)), self.line, "")):
             for at in range(0, len(all_), 10_000):
                 part = all_[at : at + 10_000]
-                ids = np.array(self.library.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                # many short texts cost the library less than a long one
+                texts = [before + before.join(part[i : i + 100]) for i in range(0, len(part), 100)]
+                found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+                ids = np.array([i for e in found for i in e.ids], np.uint32)
                 begins = np.flatnonzero(begins_word[ids])
                 if len(begins) == len(part) and begins[0] == 0:
                     self.word.update(zip(part, self._keep(ids, np.diff(begins, append=len(ids))), strict=True))
@@ -389,6 +408,7 @@ class Encoder:
         """The numbers of words (each once), each with a blank before it."""
         names = words.to_numpy(zero_copy_only=False).tolist()
         found = self._numbered(names)
+        self.again[found[found >= 0]] = True
         missing = np.flatnonzero(found < 0)
         if len(missing):
             words = words.take(pa.array(missing))
@@ -413,35 +433,38 @@ class Encoder:
     def _numbered(self, names: list[str]) -> np.ndarray:
         return np.fromiter(map(self.word.get, names, itertools.repeat(-1)), np.int64, len(names))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text its ids, as unsigned 32-bit integers."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text, none of them null, its ids as unsigned 32-bit integers."""
         out: list[np.ndarray] = []
-        at = 0
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+        at = held = 0
         while at < len(texts):
-            end, held = at + 1, len(texts[at])
-            while end < len(texts) and held + len(texts[end]) <= GROUP_CHARACTERS:
-                held += len(texts[end])
-                end += 1
-            out += self._group(texts[at:end])
-            at = end
+            end = max(at + 1, int(np.searchsorted(ends, held + GROUP_CHARACTERS, side="right")))
+            out += self._group(texts.slice(at, end - at))
+            at, held = end, int(ends[end - 1])
         return out
 
-    def _group(self, texts: list[str]) -> list[np.ndarray]:
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
         if self.many > KEPT_PIECES:
-            self._forget()
-        # texts that can be cut at every blank and line feed; four signs are white space to one pattern engine, not to the other
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        plain = [not o and self._UNSAFE.search(t) is None for t, o in zip(texts, odd, strict=True)]
-        shown = [t.replace("\n", " \n") if p else "" for t, p in zip(texts, plain, strict=True)]
-        split = pc.split_pattern(pa.array(shown, pa.large_string()), " ")
+            self._shrink()
+        # texts that can be cut at every blank and line feed
+        odd = pc.match_substring_regex(texts, self._ODD)
+        plain = pc.invert(pc.or_(odd, pc.match_substring_regex(texts, self._UNSAFE)))
+        split = pc.split_pattern(pc.if_else(plain, pc.replace_substring(texts, "\n", " \n"), ""), " ")
         coded, edges = split.flatten().dictionary_encode(), split.offsets.to_numpy()
-        numbers = self._words(coded.dictionary)[coded.indices.to_numpy()]
+        indices = coded.indices.to_numpy()
+        numbers = self._words(coded.dictionary)[indices]
         # what begins a text has no blank before it; texts that aren't plain have one piece here, which isn't theirs
-        numbers[edges[:-1]] = self._pieces([t.split(" ", 1)[0] for t in shown])
+        numbers[edges[:-1]] = self._pieces(coded.dictionary.take(pa.array(indices[edges[:-1]])).to_pylist())
         sizes = self.length[numbers]
         ids = self.ids[_spread(self.begin[numbers], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[edges].tolist()
-        return [ids[a:b] if p else self._apart([t] if o else self._CUT.split(t)) for t, o, p, a, b in zip(texts, odd, plain, ends, ends[1:], strict=False)]
+        out = [ids[a:b] for a, b in itertools.pairwise(ends)]
+        for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+            text = texts[i].as_py()
+            out[i] = self._apart([text] if odd[i].as_py() else self._CUT.split(text))
+        return out
 
     def _apart(self, pieces: list[str]) -> np.ndarray:
         at = np.array(self._pieces(pieces), np.int64)
@@ -483,7 +506,7 @@ def write_tokens(df: DataFrame, path: str, folder: str, end_id: int = 0) -> Data
         writer, name, first = None, "", None
         end = np.array([end_id], np.uint32)
         for b in batches:
-            found = encoder(path).encode([t or "" for t in b.column("text").to_pylist()])
+            found = encoder(path).encode(pc.fill_null(b.column("text"), ""))
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), found, strict=True):
                 if writer is None:
                     store.create_dir(base, recursive=True)
