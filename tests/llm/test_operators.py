@@ -5,11 +5,13 @@ import gzip
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -216,6 +218,34 @@ def test_token_files(mess, docs):
         assert rows(tokenfile.token_table(df.where("doc_id IS NOT NULL"), BYTES), "doc_id", "start", "n_tokens", "ids_crc32") == wanted
 
 
+@pytest.mark.parametrize("kept", [20, 2000, 1_000_000])
+def test_encoder_is_the_library(kept, monkeypatch):
+    """Odd white space, signs and letters, with tables of words that are full at once, often, or never."""
+    monkeypatch.setattr(tokenfile, "KEPT_PIECES", kept)
+    draw = random.Random(5)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\r", "\x00", ".", ",", "!?", "_", "<|endoftext|>"]
+    parts += ["a", "dog's", "'ll", "12", "\u00e9", "\u0436", "\u0e44\u0e17\u0e22", "\u4e2d", "\U0001f600", "A\u0301"] + [" "] * 12 + ["\n"] * 2
+    words = ["".join(draw.choices("abcde\u00e4", k=draw.randrange(1, 5))) for _ in range(300)]
+    texts = ["".join(draw.choices(parts + words[:40] + draw.sample(words, 10), k=draw.randrange(60))) for _ in range(2000)]
+    library, encoder = Tokenizer.from_file(BYTES), tokenfile.Encoder(BYTES)
+    for at in range(0, len(texts), 250):
+        some = texts[at : at + 250]
+        wanted = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert [ids.tolist() for ids in encoder.encode(pa.array(some))] == wanted
+
+
+def test_bits_of_an_id():
+    """Ids that follow each other often take far fewer bits than their own entropy; ids at random hardly more than it."""
+    draw = np.random.default_rng(7)
+    chance = draw.integers(0, 4096, 200_000)
+    assert len(tokenfile.encode_block(chance, 50_257)) * 8 / len(chance) < 13.5
+    phrases = draw.integers(0, 4096, (50, 40))
+    told = phrases[draw.integers(0, 50, 5000)].ravel()
+    data = tokenfile.encode_block(told, 50_257)
+    assert len(data) * 8 / len(told) < 3
+    assert (tokenfile.decode_block(data, 50_257) == told).all()
+
+
 def test_damaged_block():
     data = tokenfile.encode_block(np.arange(5000, dtype=np.uint32) % 97, 50_257)
     assert tokenfile.decode_block(data, 50_257).tolist() == [i % 97 for i in range(5000)]
