@@ -48,11 +48,18 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """As cut(), as a Parquet table: columns that are not asked for are not read again."""
+def written(df: DataFrame, what: str, with_path: bool = False) -> DataFrame | tuple[DataFrame, str]:
+    """As cut(), as a Parquet table: columns that are not asked for are not read again. With its path, if asked for."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (back, path) if with_path else back
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a table that written() made, once nothing reads it any more."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def slots(spark: SparkSession) -> int:

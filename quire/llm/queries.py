@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact, langid, mixing, shards, simhash, tokenfile, topk, toxicity, warc
+from quire.llm import bpe, exact, langid, mixing, ranked, resample, shards, simhash, tokenfile, topk, toxicity, warc
 from quire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,38 @@ def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_context_mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
+@query
+def op11_quantised_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLES["op11_quantised_index"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), d AS MATERIALIZED (
+  SELECT row, doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0
+), s AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM d
+), p AS MATERIALIZED (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY ALL
+), f AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs
+), q AS (
+  SELECT DISTINCT item, item_id, term FROM (
+    SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), m AS (
+  SELECT item, item_id, p.row, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN d ON d.row = p.row, s GROUP BY item, item_id, p.row
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM m WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
