@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact, langid, mixing, ranked, resample, shards, simhash, tokenfile, topk, toxicity, warc
+from quire.llm import bpe, exact, langid, mixing, ranked, resample, secrets, shards, simhash, tokenfile, topk, toxicity, warc
 from quire.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +164,32 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _spans_sql(rule: secrets.Rule, number: int) -> str:
+    """Spans of a rule, in SQL whose patterns know no other way to leave letters' case open than for all alphabets."""
+    pattern = re.sub(r"\(\?i:(.*?\))\)", lambda m: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]), rule.pattern).replace("'", "''")
+    return f"""SELECT row, {number} AS kind, '{rule.kind}' AS name, start, start + len(m[i]) AS stop
+  FROM (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS start
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT row, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d)))
+  WHERE len(regexp_extract(m[i], '{pattern}', {rule.group})) >= {rule.least}"""
+
+
+ORACLES["op13_secret_scan"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_spans_sql(r, n) for n, r in enumerate(secrets.RULES))}),
+a AS (
+  SELECT row, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
+         string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+         count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex
+  FROM s GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (row)
+"""
