@@ -5,9 +5,9 @@ learned: words, and beginnings of words of four to six letters (for languages th
 hold far more often than clean ones. Each entry votes toxic where it occurs and abstains elsewhere. Patterns are letters
 with signs or digits between them, letters drawn out, repeated exclamation, words in capitals, an entry next to a word
 that addresses somebody, and many entries; each votes toxic where it is found, and three more voters vote clean where no
-entry of a kind occurs. The label model, which sees votes only and no labels, estimates each voter's rates for either
-class by expectation maximisation; voters that fire on the same texts beyond what the classes explain are correlated, and
-each counts for as much less as it has such neighbours. A logistic regression on the presence of lexicon entries and of
+entry of a kind occurs. The label model, which sees votes only and no labels, puts voters that fire on the same texts
+beyond what the classes explain into blocks, which vote as one, and estimates the rates of each block's votes in either
+class by expectation maximisation. A logistic regression on the presence of lexicon entries and of
 the commonest other words is then trained on the posteriors, and scores every text.
 
 Learning takes at most SAMPLE labelled documents, chosen by a hash of doc_id, of those not held out (crc32 of doc_id as
@@ -74,41 +74,78 @@ def _present(text: str, of_piece: Kept) -> set[str]:
 
 
 class LabelModel:
-    """Rates of voters for two classes, from votes alone (1 toxic, -1 clean, 0 abstains)."""
+    """Two classes behind votes (1 toxic, -1 clean, 0 abstains), from the votes alone.
 
-    def __init__(self, prior: float, rounds: int = 40):
+    Voters for one class that fire together beyond what the classes explain are one block, whose value is the pattern of
+    its votes; patterns of few rows count by their sum. Blocks are independent within a class, and their rates and the
+    posterior come from expectation maximisation, which ends when the likelihood has stopped rising. A voter for clean
+    whose vote is a function of the votes for toxic says nothing new, and has no part in the likelihood. Three blocks at
+    least are needed to tell two classes apart; with fewer, any vote for toxic decides.
+    """
+
+    LINK, RARE, GAIN = 0.7, 8, 1e-7
+
+    def __init__(self, prior: float, rounds: int = 200):
         self.prior, self.rounds = prior, rounds
 
     def fit(self, votes: np.ndarray) -> np.ndarray:
         """The posterior of class 1 for each row."""
-        n, m = votes.shape
-        fires = (votes != 0).astype(float)
-        sign = votes.sum(axis=0) >= 0  # which class a voter votes for
-        posterior = np.where((votes > 0).any(axis=1), 0.9, 0.05)
-        self.weight = np.ones(m)
-        for turn in range(self.rounds):
-            one, zero = posterior.sum() + 1e-9, (1 - posterior).sum() + 1e-9
-            self.rate1 = np.clip((posterior @ fires + 0.5) / (one + 1), 1e-6, 1 - 1e-6)
-            self.rate0 = np.clip(((1 - posterior) @ fires + 0.5) / (zero + 1), 1e-6, 1 - 1e-6)
-            # a voter is at least as likely to fire on the class that it votes for
-            better = np.maximum(self.rate1, self.rate0), np.minimum(self.rate1, self.rate0)
-            self.rate1, self.rate0 = np.where(sign, *better), np.where(sign, *better[::-1])
-            if turn == 5:
-                self.weight = self._independence(fires, posterior)
-            log1 = np.log(self.prior) + (fires * np.log(self.rate1) + (1 - fires) * np.log1p(-self.rate1)) @ self.weight
-            log0 = np.log1p(-self.prior) + (fires * np.log(self.rate0) + (1 - fires) * np.log1p(-self.rate0)) @ self.weight
+        rows, back, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+        fires, toxic = (rows != 0).astype(float), rows.sum(axis=0) >= 0
+        posterior = np.where((rows > 0).any(axis=1), 0.9, 0.05)
+        self._rates(fires, n, posterior)
+        rest = fires - posterior[:, None] * self.rate1 - (1 - posterior)[:, None] * self.rate0
+        spread = np.sqrt(n @ rest**2) + 1e-9
+        correlation = (rest * n[:, None]).T @ rest / np.outer(spread, spread)
+        block = self._linked((correlation > self.LINK) & (toxic[:, None] == toxic))
+        patterns = len(np.unique(fires[:, toxic], axis=0))
+        told = [not t and len(np.unique(fires[:, toxic | (np.arange(len(toxic)) == v)], axis=0)) == patterns for v, t in enumerate(toxic)]
+        self.weight = np.where(told, 0, 1 / np.bincount(block)[block])
+        values = [(self._patterns(rows[:, block == b], n), bool(self.weight[block == b].any())) for b in range(block.max() + 1)]
+        values = [v for v, counts in values if counts and v.max() > 0]
+        self.blocks = len(values)
+        if self.blocks >= 3:
+            posterior = self._maximised(values, n, posterior)
+            self._rates(fires, n, posterior)
+        return posterior[back.ravel()]
+
+    def _rates(self, fires: np.ndarray, n: np.ndarray, posterior: np.ndarray) -> None:
+        """How often each voter fires in either class."""
+        one, zero = n * posterior, n * (1 - posterior)
+        self.rate1, self.rate0 = (one @ fires + 0.5) / (one.sum() + 1), (zero @ fires + 0.5) / (zero.sum() + 1)
+
+    @staticmethod
+    def _linked(near: np.ndarray) -> np.ndarray:
+        """Numbers of the components of a symmetric relation."""
+        label = np.arange(len(near))
+        while True:
+            least = np.minimum(label, np.where(near, label, len(near)).min(axis=1))
+            if (least == label).all():
+                return np.unique(label, return_inverse=True)[1]
+            label = least
+
+    def _patterns(self, votes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The number of each row's pattern of votes."""
+        found, code = np.unique(votes, axis=0, return_inverse=True)
+        few = np.bincount(code.ravel(), weights=n) < self.RARE
+        name = np.where(few, len(found) + 3 + np.clip(found.sum(axis=1), -3, 3), np.arange(len(found)))
+        return np.unique(name[code.ravel()], return_inverse=True)[1]
+
+    def _maximised(self, values: list[np.ndarray], n: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+        best = -np.inf
+        for _ in range(self.rounds):
+            log1, log0 = np.log(self.prior), np.log1p(-self.prior)
+            for value in values:
+                many = int(value.max()) + 1
+                one, zero = (np.bincount(value, weights=n * p, minlength=many) + 0.5 / many for p in (posterior, 1 - posterior))
+                log1, log0 = log1 + np.log(one / one.sum())[value], log0 + np.log(zero / zero.sum())[value]
             posterior = 1 / (1 + np.exp(np.clip(log0 - log1, -60, 60)))
+            likelihood = float(n @ np.logaddexp(log1, log0))
+            if likelihood <= best + self.GAIN * n.sum():
+                break
+            best = likelihood
         return posterior
 
-    def _independence(self, fires: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-        """1 / (1 + the correlations, of either sign, with other voters that are left within the classes)."""
-        expected = posterior[:, None] * self.rate1 + (1 - posterior)[:, None] * self.rate0
-        rest = fires - expected
-        spread = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-        correlation = np.minimum(np.abs(rest.T @ rest) / np.outer(spread, spread), 1)
-        np.fill_diagonal(correlation, 0)
-        return 1 / (1 + np.where(correlation > 0.2, correlation, 0).sum(axis=1))
-
 
 class Sparse:
     """A matrix of zeros and ones: the columns that are set, row by row."""

@@ -544,6 +544,33 @@ def test_label_model_finds_rates():
     assert model.weight[0] < 0.3 < 0.6 < model.weight[1]
 
 
+def _drawn(n, one, zero, seed):
+    draw = np.random.default_rng(seed)
+    truth = draw.random(n) < 0.2
+    return truth, draw.random((n, len(one))) < np.where(truth[:, None], one, zero)
+
+
+def test_label_model_with_correlated_voters():
+    """Twenty voters that all say the same, alone: the classes can't be told apart by rates, and any vote decides."""
+    truth, fires = _drawn(500, np.array([0.9]), np.array([0.01]), 3)
+    votes = np.concatenate([*[fires] * 20, *[-(~fires).astype(float)] * 3], axis=1).astype(np.float32)
+    model = toxicity.LabelModel(prior=0.2)
+    posterior = model.fit(votes)
+    assert model.blocks == 1 and (posterior[fires[:, 0]] == 0.9).all() and (posterior[~fires[:, 0]] == 0.05).all()
+
+
+def test_label_model_with_two_blocks_and_with_three():
+    truth, fires = _drawn(4000, np.array([0.8, 0.6, 0.7]), np.array([0.02, 0.03, 0.01]), 4)
+    copied = lambda k: np.repeat(fires[:, :k], 6, axis=1).astype(np.float32)
+    two, three = toxicity.LabelModel(prior=0.2), toxicity.LabelModel(prior=0.2)
+    start, posterior = two.fit(copied(2)), three.fit(copied(3))
+    assert two.blocks == 2 and set(np.round(start, 6)) == {0.9, 0.05}
+    assert three.blocks == 3 and np.allclose(three.weight, 1 / 6)
+    assert np.abs(three.rate1[::6] - [0.8, 0.6, 0.7]).max() < 0.08 and np.abs(three.rate0[::6] - [0.02, 0.03, 0.01]).max() < 0.03
+    likely = np.log([[0.2], [0.8]]) + np.array([np.where(fires, np.log(r), np.log1p(-np.array(r))).sum(axis=1) for r in ([0.8, 0.6, 0.7], [0.02, 0.03, 0.01])])
+    assert ((posterior > 0.5) == truth).mean() > ((likely[0] > likely[1]) == truth).mean() - 0.005  # the true model's share
+
+
 def test_logistic_against_a_dense_fit():
     draw = np.random.default_rng(9)
     dense = (draw.random((400, 12)) < 0.3).astype(float)
