@@ -3,8 +3,9 @@
 A source's rate is its target share of the mixture over its share of the corpus, both in code points (with one for the
 end of a document). Each document draws a number in [0, 1) from a hash of its doc_id and the seed, inverts the Poisson
 distribution whose mean is its source's rate, and appears that many times; so each copy count is reproducible, needs no
-state, and has the rate as its mean. The copies are then dealt to partitions by a hash of (doc_id, copy), and lie in each
-in the order of that hash: one exchange, for which nothing needs to be sampled. All of it is DataFrame expressions.
+state, and has the rate as its mean. The copies are then dealt to partitions by a hash of (doc_id, copy) and the row's
+number, which spreads rows that share a doc_id, and lie in each in the order of that hash: one exchange, for which nothing
+needs to be sampled. All of it is DataFrame expressions.
 
 Rates are one row for each source, pre-aggregated before the exchange; they are broadcast only if they have at most
 BROADCAST_BYTES, and else joined by (source, salt), so that a source with a third of all rows is spread.
@@ -68,7 +69,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0
     weights: target share of each source, in any unit; None: its share of the corpus to the power alpha.
     """
     table, size = rates(df, weights, alpha)
-    rows = clashing(df, ["copies", "copy", "mix_key", "_source", "_rate", "_salt"])
+    rows = clashing(df, ["copies", "copy", "mix_key", "_source", "_rate", "_salt", "_place"])
     if size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["_source"]))
     else:
@@ -76,7 +77,9 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0
     u = F.conv(F.substring(_hash(seed, F.col("doc_id")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     copied = joined.withColumn("copies", inverted(F.col("_rate"), u)).where("copies > 0").drop("_source", "_rate").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     keyed = copied.withColumn("mix_key", _hash(seed, F.col("doc_id"), F.col("copy")))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    # rows that repeat a doc_id, or have none, share their keys: the number of the row keeps them apart
+    placed = keyed.withColumn("_place", F.xxhash64("mix_key", F.monotonically_increasing_id()))
+    return placed.repartition("_place").sortWithinPartitions("_place").drop("_place")
 
 
 def salted(rows: DataFrame, table: DataFrame) -> DataFrame:

@@ -325,7 +325,7 @@ _READ = "record_id string, url string, date string, payload_bytes long, payload_
 
 
 def read_back(files: DataFrame, folder: str) -> DataFrame:
-    """The records of WARC files: digests and lengths of responses from their bytes, those of revisits from their headers."""
+    """The records of WARC files: digests and sizes of payloads from their bytes; a revisit has none, and its size is null (see resolved)."""
 
     def read(batches):
         store, _ = _store(folder)
@@ -334,13 +334,11 @@ def read_back(files: DataFrame, folder: str) -> DataFrame:
                 rows = []
                 with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=io.BufferedReader(raw, 1 << 18)) as unpacked:
                     for headers, block in read_warc(io.BufferedReader(unpacked, 1 << 18)):
-                        head, payload = http_parts(block)
+                        payload = http_parts(block)[1]
                         kind = headers["warc-type"]
                         digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                        n = len(payload)
-                        if kind == "revisit":
-                            n = int(head_value(head, "Content-Length") or 0)
-                        elif sha1(payload) != digest:
+                        n = None if kind == "revisit" else len(payload)
+                        if n is not None and sha1(payload) != digest:
                             raise MalformedArchive(f"a payload of {path} isn't what its digest says")
                         rows.append((headers["warc-record-id"], headers["warc-target-uri"], headers["warc-date"], n, digest, kind, headers.get("warc-refers-to")))
                         if len(rows) == 5000:
@@ -351,6 +349,15 @@ def read_back(files: DataFrame, folder: str) -> DataFrame:
     return _spread(files.select("path")).mapInArrow(read, _READ)
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Records of read_back(), in which each revisit has the payload size of the record that it refers to, and its page_id as refers_to."""
+    again, page = F.col("record_type") == "revisit", F.col("page_id") if "page_id" in records.columns else F.lit(None).cast("long")
+    others = records.where(~again)
+    targets = others.select(F.col("record_id").alias("refers_to_id"), page.alias("refers_to"), F.col("payload_bytes").alias("_size"))
+    revisits = records.where(again).drop("payload_bytes").join(targets, "refers_to_id", "left").withColumnRenamed("_size", "payload_bytes")
+    return others.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
+
+
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages through ARC into WARC files and back: a row for each page, with refers_to, the page of the response."""
     small_batches(pages.sparkSession)
@@ -359,5 +366,4 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     files = convert(places.select("path"), folder, min_bytes, places.withColumnRenamed("page_id", "rank"))
     # a list of files grows into records: what Spark takes for their size would have them broadcast
     records = written(read_back(files, folder).hint("merge").join(places.select("record_id", "page_id"), "record_id"), "warc-records")
-    targets = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return records.join(targets, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")
+    return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")

@@ -258,6 +258,18 @@ def test_damaged_block():
 # --- archives
 
 
+def test_mixing_spreads_a_hot_id(spark):
+    """Rows without a doc_id go to every partition, and lie mixed with others there."""
+    df = spark.createDataFrame([(None, f"t{i}", "en", "a", 1) for i in range(400)] + [(i, f"u{i}", "en", "a" if i < 400 else "b", 1) for i in range(2000)], SCHEMA)
+    found = mixing.mix(df, weights={"a": 9.0, "b": 1.0}).withColumn("part", F.spark_partition_id()).collect()
+    parts = defaultdict(list)
+    for r in found:
+        parts[r["part"]].append(r["doc_id"] is None)
+    assert len(parts) >= 4 and sum(map(sum, parts.values())) >= 400
+    assert all(0.2 < sum(p) / len(p) < 0.8 for p in parts.values())
+    assert max(len(list(g)) for p in parts.values() for none, g in itertools.groupby(p) if none) < 40
+
+
 def test_pages_through_archives(spark):
     pages = [(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c", ""), (4, "http://d", None), (5, "http://e", "é" * 90_000), (7, "http://f", "WARC/1.1\r\n\r\nHTTP/1.1 200\r\n\r\n"), (8, "http://g", "é" * 90_000)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, record_type string")
@@ -314,6 +326,9 @@ def test_archives_that_others_made(spark, tmp_path):
     assert Counter((r["url"], r["date"][:4], r["record_type"], r["payload_bytes"]) for r in found if r["record_type"] == "response") == {("http://c", "2002", "response", 3000): 1, ("http://b", "2001", "response", 3): 1, ("http://d", "2004", "response", 0): 1}
     target = next(r["record_id"] for r in found if r["url"] == "http://c" and r["record_type"] == "response")
     assert sorted((r["url"], r["refers_to_id"] == target) for r in found if r["record_type"] == "revisit") == [("http://a", True), ("http://c", True)]
+    # heads without a Content-Length, and revisits without a payload: the size is that of the response
+    whole = warc.resolved(spark.createDataFrame(found, warc._READ))
+    assert rows(whole, "url", "record_type", "payload_bytes") == [("http://a", "revisit", 3000), ("http://b", "response", 3), ("http://c", "response", 3000), ("http://c", "revisit", 3000), ("http://d", "response", 0)]
 
 
 @pytest.mark.parametrize("version", [1, 2])
