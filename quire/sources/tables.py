@@ -35,6 +35,13 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select((k % 7).alias("doc_id"), (k % 3).cast("int").alias("page_no"), k.alias("point"), (k * 53 % 560).cast("double").alias("x"), (k * 71 % 780).cast("double").alias("y"))
 
 
+def sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """As boxes(), on pages of forty boxes each, so that there are more pages where there are more rows."""
+    k = F.col("p_partkey")
+    corner = table(spark, folder, "part").select((k % 7).alias("doc_id"), F.floor(k / 280).cast("int").alias("page_no"), k.alias("ord"), (k * 37 % 500).cast("double").alias("x0"), (k * 91 % 700).cast("double").alias("y0"), "p_size")
+    return corner.select("doc_id", "page_no", "ord", "x0", "y0", (F.col("x0") + 10 + F.col("p_size") * 3).alias("x1"), (F.col("y0") + 8 + F.col("p_size")).alias("y1"))
+
+
 #: boxes() and points() for an SQL engine over the same tables.
 BOXES_SQL = """
 SELECT p_partkey % 7 AS doc_id, CAST(p_partkey % 3 AS INTEGER) AS page_no, p_partkey AS ord,
@@ -47,3 +54,10 @@ SELECT c_custkey % 7 AS doc_id, CAST(c_custkey % 3 AS INTEGER) AS page_no, c_cus
        CAST(c_custkey * 53 % 560 AS DOUBLE) AS x, CAST(c_custkey * 71 % 780 AS DOUBLE) AS y
 FROM customer
 """
+#: As sheets().
+SHEETS_SQL = """
+SELECT p_partkey % 7 AS doc_id, CAST(p_partkey // 280 AS INTEGER) AS page_no, p_partkey AS ord,
+       CAST(p_partkey * 37 % 500 AS DOUBLE) AS x0, CAST(p_partkey * 91 % 700 AS DOUBLE) AS y0,
+       CAST(p_partkey * 37 % 500 AS DOUBLE) + 10 + p_size * 3 AS x1, CAST(p_partkey * 91 % 700 AS DOUBLE) + 8 + p_size AS y1
+FROM part
+"""
