@@ -10,12 +10,15 @@ count none of them; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import color_hex, font_family, font_style, is_thai, page_label, page_token, repair_text, undecodable_ratio
+from quire.functions.text import PAGE_PARTS, color_hex, font_family, font_style, is_thai, page_label, page_token, repair_text, undecodable_ratio
+from quire.operators.iterate import cut
 from quire.operators.layout import regions as graphic_regions
 from quire.operators.relate import PAGE
+from quire.operators.runs import stripped
 
 # The kinds of annotation that count as comments, and those with a kind of their own on the page.
 COMMENT_TYPES = ("Text", "FreeText", "Line", "Square", "Circle", "Polygon", "PolyLine", "Highlight", "Underline", "Squiggly", "StrikeOut", "Stamp", "Caret", "Ink", "FileAttachment", "Sound")
@@ -159,9 +162,9 @@ def pdf_box(text: Column | str) -> Column:
 
 
 def line_text(spans_: Column | str = "spans") -> Column:
-    """The repaired texts of a line's spans, joined."""
+    """The repaired texts of a line's spans, joined: a control character keeps them apart while all are repaired at once, and goes with that."""
     texts = F.transform(F.coalesce(F.col(spans_) if isinstance(spans_, str) else spans_, F.array()), lambda s: F.coalesce(s["text"], F.lit("")))
-    return repair_text(F.array_join(texts, ""), compose=False)
+    return repair_text(F.array_join(texts, "\u0001"))
 
 
 def line_size(spans_: Column | str = "spans") -> Column:
@@ -226,17 +229,18 @@ def diagram_pages(lines: DataFrame, regions: DataFrame) -> DataFrame:
     return total.join(met, PAGE, "left").select(*PAGE, ((F.col("_lines") >= 8) & (F.col("_all") > 0) & (inside >= 0.7 * F.col("_all"))).alias("is_diagram"))
 
 
-def designed_pages(pages: DataFrame, lines: DataFrame, images: DataFrame, drawings: DataFrame) -> DataFrame:
+def designed_pages(pages: DataFrame, lines: DataFrame, images: DataFrame, drawings: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """doc_id, page_no, is_designed: made to be looked at rather than read.
 
     A diagram; or up to 40 lines with one that doesn't run from left to right or has a span of 36 points; or up to 60
-    lines and images that cover 45 % of the page, together with coloured shapes where they alone don't.
+    lines and images that cover 45 % of the page, together with coloured shapes where they alone don't. What is drawn in
+    tables (boxes) makes no diagram.
     """
     size = pages.select(*PAGE, F.col("width").alias("_w"), F.col("height").alias("_h"))
     text = lines.groupBy(*PAGE).agg(F.count("*").alias("_lines"), F.bool_or(~is_flat() | (F.coalesce(F.array_max(F.transform("spans", lambda s: F.coalesce(s["size"], F.lit(0.0)))), F.lit(0.0)) >= 36)).alias("_loud"))
     covered = lambda df, name: df.join(size, PAGE).groupBy(*PAGE).agg(F.sum(_in_page(df)).alias(name))
     coloured = drawings.where(F.size(F.coalesce("fill", F.array().cast("array<double>"))) > 0).where(F.array_min("fill") < 0.92)
-    diagram = diagram_pages(lines, graphic_regions(drawings, pages))
+    diagram = diagram_pages(lines, graphic_regions(drawings, pages, tables))
     all_ = size
     for part in (text, covered(placed_images(images, pages, keep_full=True), "_pictures"), covered(coloured, "_shapes"), diagram):
         all_ = all_.join(part, PAGE, "left")
@@ -267,21 +271,34 @@ def section_numbering(sections: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def header_paragraphs(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Header and footer lines as paragraphs: doc_id, page_no, ord (from top to bottom), align, text, field (its page number) and total (the number of pages after it)."""
-    text = F.regexp_replace(line_text(), "^ +| +$", "")
-    shown = lines.select("*", text.alias("text")).where(F.col("text") != "").join(pages.select(*PAGE, "width"), PAGE)
+    """Header and footer lines as paragraphs: doc_id, page_no, ord (from top to bottom), align, text, field, total, runs.
+
+    field is the page number, total the number of pages after it, each null if there is none. runs, with the looks of the
+    line's spans: kind (text, page or pages; the last two are fields, and a line that has one looks like its first run),
+    text, thai (whether a total is to be written in Thai digits), family, size, color and style.
+    """
+    segments = line_segments(lines).select(*PAGE, "block_no", "line_no", "segment", F.struct("family", "size", "color", "style").alias("key"), "text")
+    own = segments.groupBy(*PAGE, "block_no", "line_no").agg(F.sort_array(F.collect_list(F.struct("segment", "key", "text"))).alias("_s"))
+    own = own.select(*PAGE, "block_no", "line_no", stripped(F.transform("_s", lambda r: F.struct(r["key"].alias("key"), r["text"].alias("text")))).alias("_runs")).where(F.size("_runs") > 0)
+    text = F.array_join(F.transform("_runs", lambda r: r["text"]), "")
+    shown = own.withColumn("text", text).join(lines.select(*PAGE, "block_no", "line_no", "x0", "x1", "y0"), [*PAGE, "block_no", "line_no"]).join(pages.select(*PAGE, "width"), PAGE)
     middle = (F.col("x0") + F.col("x1")) / 2
     align = F.when(F.abs(middle - F.col("width") / 2) < 0.1 * F.col("width"), "center").when(middle > F.col("width") / 2, "right").otherwise("left")
     order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "block_no", "line_no")
-    of = F.nullif(F.regexp_extract("text", r"(?:/|of|จาก)\s*([0-9๐-๙]{1,4})[\s\-–—|]*$", 1), F.lit(""))
-    token = page_token("text")
-    return shown.select(*PAGE, (F.row_number().over(order) - 1).alias("ord"), align.alias("align"), "text", token.alias("field"), F.when(token.isNotNull(), of).alias("total"))
+    part = lambda n: F.nullif(F.regexp_extract("text", PAGE_PARTS, n), F.lit(""))
+    numbered = F.col("text").rlike(PAGE_PARTS)
+    first, plain = F.col("_runs")[0]["key"], F.lit(False)
+    run = lambda kind, text, key, thai=plain: F.struct(F.lit(kind).alias("kind"), text.alias("text"), thai.alias("thai"), key["family"].alias("family"), key["size"].alias("size"), key["color"].alias("color"), key["style"].alias("style"))
+    fields = F.array(run("text", part(1), first), run("page", part(2), first), run("text", part(3), first), run("pages", part(4), first, is_thai(F.substring(part(4), 1, 1))), run("text", part(5), first))
+    runs = F.when(numbered, F.filter(fields, lambda r: r["text"].isNotNull())).otherwise(F.transform("_runs", lambda r: run("text", r["text"], r["key"])))
+    field = lambda n: F.when(numbered, part(n))
+    return shown.select(*PAGE, (F.row_number().over(order) - 1).alias("ord"), align.alias("align"), "text", field(2).alias("field"), field(4).alias("total"), runs.alias("runs"))
 
 
 def frames(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Lines at fixed places: doc_id, page_no, ord (by y, x), x, y, width, height; with some room to the right, and within the page."""
+    """Lines at fixed places: doc_id, page_no, ord (by y, x), x, y, width, height; with some room to the right, and within the page. Lines without text after repair have none."""
     size = line_size()
-    placed = lines.join(pages.select(*PAGE, F.col("width").alias("_w"), F.col("height").alias("_h")), PAGE)
+    placed = lines.where(line_text() != "").join(pages.select(*PAGE, F.col("width").alias("_w"), F.col("height").alias("_h")), PAGE)
     width = F.least(F.greatest(1.1 * (F.col("x1") - F.col("x0")) + 8, 2 * size), F.greatest(F.col("_w") - F.col("x0"), F.lit(20.0)))
     x, y = (F.greatest(F.lit(0.0), F.least(F.col(c), F.col(of) - room)) for c, of, room in (("x0", "_w", 10), ("y0", "_h", 6)))
     all_ = placed.select(*PAGE, "block_no", "line_no", x.alias("x"), y.alias("y"), width.alias("width"), F.greatest(F.col("y1") - F.col("y0"), 1.05 * size).alias("height"))
@@ -296,18 +313,45 @@ def ends_early(content: DataFrame, pages: DataFrame, bottom_margin: float) -> Da
 
 
 def route_lines(lines: DataFrame, furniture: DataFrame, regions: DataFrame, cells: DataFrame) -> DataFrame:
-    """lines with place: furniture (rows block_no, line_no of it), else region, else cell (by the middle, 1 point around), else body; and region, the first that holds it."""
+    """lines with place: furniture (rows block_no, line_no of it), else region, else cell (by the middle, 1 point around), else body; and region, the first that holds it.
+
+    A region takes in the box of each line that goes to it, so that later ones may lie in what it has become: the lines
+    of a page with regions are walked in their order (block_no, line_no), the regions of the page being the state.
+    """
     l_ = lines.withColumn("_id", F.monotonically_increasing_id())
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    at = l_.select("_id", *PAGE, x.alias("_x"), y.alias("_y"))
-    inside = lambda b, slack: F.col("_x").between(F.col(f"{b}.x0") - slack, F.col(f"{b}.x1") + slack) & F.col("_y").between(F.col(f"{b}.y0") - slack, F.col(f"{b}.y1") + slack)
-    same = lambda b: (F.col("a.doc_id") == F.col(f"{b}.doc_id")) & (F.col("a.page_no") == F.col(f"{b}.page_no"))
-    in_region = at.alias("a").join(regions.alias("r"), same("r") & inside("r", 0)).groupBy("_id").agg(F.min("r.region").alias("region"))
-    in_cell = at.alias("a").join(cells.alias("c"), same("c") & inside("c", 1), "left_semi").select("_id", F.lit(True).alias("_cell"))
     is_furniture = furniture.select(*PAGE, "block_no", "line_no").distinct().withColumn("_furniture", F.lit(True))
-    found = l_.join(is_furniture, [*PAGE, "block_no", "line_no"], "left").join(in_region, "_id", "left").join(in_cell, "_id", "left")
+    l_ = cut(l_.join(is_furniture, [*PAGE, "block_no", "line_no"], "left"))  # ids are joined on below
+    at = l_.where("_furniture IS NULL").select("_id", *PAGE, "x0", "y0", "x1", "y1", x.alias("_x"), y.alias("_y"), F.struct("block_no", "line_no", "_id").alias("_at"))
+    drawn = regions.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("region", "x0", "y0", "x1", "y1"))).alias("_regions"))
+    walked = at.join(drawn, PAGE).groupBy(*PAGE).agg(F.first("_regions").alias("_regions"), F.sort_array(F.collect_list(F.struct("_at", "_x", "_y", "x0", "y0", "x1", "y1"))).alias("_lines"))
+    schema = "_id long, region int"
+
+    def walk(batches):
+        for b in batches:
+            out = []
+            for around, own in zip(b.column("_regions").to_pylist(), b.column("_lines").to_pylist(), strict=True):
+                boxes = [[r["region"], r["x0"], r["y0"], r["x1"], r["y1"]] for r in around]
+                for r in own:
+                    home = next((g for g in boxes if g[1] <= r["_x"] <= g[3] and g[2] <= r["_y"] <= g[4]), None)
+                    if home is not None:
+                        home[1:] = min(home[1], r["x0"]), min(home[2], r["y0"]), max(home[3], r["x1"]), max(home[4], r["y1"])
+                        out.append((r["_at"]["_id"], home[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32())], names=["_id", "region"])
+
+    in_region = walked.select("_regions", "_lines").mapInArrow(walk, schema)
+    a, c = at.alias("a"), cells.alias("c")
+    inside = F.col("a._x").between(F.col("c.x0") - 1, F.col("c.x1") + 1) & F.col("a._y").between(F.col("c.y0") - 1, F.col("c.y1") + 1)
+    in_cell = a.join(c, (F.col("a.doc_id") == F.col("c.doc_id")) & (F.col("a.page_no") == F.col("c.page_no")) & inside, "left_semi").select("_id", F.lit(True).alias("_cell"))
+    found = l_.drop("region").join(in_region, "_id", "left").join(in_cell, "_id", "left")
     place = F.when(F.col("_furniture"), "furniture").when(F.col("region").isNotNull(), "region").when(F.col("_cell"), "cell").otherwise("body")
-    return found.select(*[c for c in lines.columns if c != "region"], place.alias("place"), F.when(place == "region", F.col("region")).alias("region"))
+    return found.select(*[c for c in lines.columns if c != "region"], place.alias("place"), "region")
+
+
+def grown_regions(routed: DataFrame, regions: DataFrame) -> DataFrame:
+    """regions with the boxes that they have after route_lines(): each with the lines that went to it."""
+    boxes = regions.select(*PAGE, "region", "x0", "y0", "x1", "y1").unionByName(routed.where("place = 'region'").select(*PAGE, "region", "x0", "y0", "x1", "y1"))
+    return boxes.groupBy(*PAGE, "region").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def find_widget(wanted: DataFrame, widgets: DataFrame) -> DataFrame:
@@ -397,11 +441,18 @@ def checks_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("doc_id").agg(count("passed"), count("failed"), count("manual"), F.transform(failed, lambda x: F.struct(x["name"].alias("name"), x["category"].alias("category"))).alias("issues"))
 
 
-def add_files(have: DataFrame, new: DataFrame) -> DataFrame:
-    """The files (ord, path) of `new` that join a list: PDF files by name, of equal normalised paths the first, without those already there."""
-    steps = F.filter(F.split(F.col("path"), "/"), lambda p: (p != "") & (p != "."))
-    up = lambda out, p: F.when(p == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p)))
-    key = F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/"))
+def add_files(have: DataFrame, new: DataFrame, folder: str = "") -> DataFrame:
+    """The files (ord, path) of `new` that join a list: PDF files by name, of equal normalised paths the first, without those already there. Relative paths are of `folder`."""
+    path = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit(f"{folder}/" if folder else ""), "path"))
+    steps = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+
+    def walk(out: Column, p: Column) -> Column:
+        """A step up takes the last one back; there is none above the root, and above an unknown folder it stays."""
+        back = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit("..")) != ".."
+        further = F.concat(out, F.array(p))
+        return F.when(p != "..", further).when(back, F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(path.startswith("/"), out).otherwise(further)
+
+    key = F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"))
     pdf = new.where(F.lower(F.coalesce("path", F.lit(""))).endswith(".pdf")).withColumn("_key", key)
     first = pdf.groupBy("_key").agg(F.min_by(F.struct(*new.columns), "ord").alias("f"))
     return first.join(have.select(key.alias("_key")).distinct(), "_key", "left_anti").select("f.*")

@@ -119,12 +119,14 @@ def a8_ends_early(spark: SparkSession, folder: str) -> DataFrame:
     return model.ends_early(all_.where("ord % 40 = 0"), _pages(all_), 72.0)
 
 
-@query(_LINES + """, f AS (SELECT doc_id, page_no, block_no, line_no, greatest(0.0, least(x0, 590.0)) AS x, greatest(0.0, least(y0, 834.0)) AS y, greatest(psize + 0.25, 9.0) AS z, x0, x1, y0, y1 FROM l)
+@query(_LINES + """, f AS (SELECT doc_id, page_no, block_no, line_no, greatest(0.0, least(x0, 590.0)) AS x, greatest(0.0, least(y0, 834.0)) AS y, greatest(psize + 0.25, 9.0) AS z, x0, x1, y0, y1 FROM l WHERE ord % 6 <> 0)
 SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y, x, block_no, line_no) - 1 AS INTEGER) AS ord, x, y,
   least(greatest(1.1 * (x1 - x0) + 8, 2 * z), greatest(600 - x0, 20.0)) AS width, greatest(y1 - y0, 1.05 * z) AS height FROM f""")
 def w14_frames(spark: SparkSession, folder: str) -> DataFrame:
     all_ = boxes(spark, folder)
-    return model.frames(_lines(spark, folder), _pages(all_))
+    hidden = F.transform("spans", lambda s: s.withField("text", F.lit("\u200b")))  # nothing is left of it after repair
+    lines = _lines(spark, folder).withColumn("spans", F.when((F.col("block_no") * 100 + F.col("line_no")) % 6 == 0, hidden).otherwise(F.col("spans")))
+    return model.frames(lines, _pages(all_))
 
 
 @query(_BOXES + " SELECT doc_id, page_no, CAST(ord AS VARCHAR) AS text, round_even(x0 / 7, 1) AS x0, round_even(y0 / 7, 1) AS y0, round_even(x1 / 7, 1) AS x1, round_even(y1 / 7, 1) AS y1 FROM b")
@@ -174,12 +176,65 @@ def j14_widgets(spark: SparkSession, folder: str) -> DataFrame:
     return model.find_widget(named.where("ord % 2 = 0"), named.where("ord % 2 = 1")).select("ord", "widget")
 
 
-@query(_LINES + """, c AS (SELECT l.*, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM l WHERE ord % 4 > 1),
-r AS (SELECT c.ord, min(b.ord) AS region FROM c JOIN b ON b.ord % 4 = 0 AND b.doc_id = c.doc_id AND b.page_no = c.page_no AND cx BETWEEN b.x0 AND b.x1 AND cy BETWEEN b.y0 AND b.y1 GROUP BY c.ord),
-k AS (SELECT DISTINCT c.ord FROM c JOIN b ON b.ord % 4 = 1 AND b.doc_id = c.doc_id AND b.page_no = c.page_no AND cx BETWEEN b.x0 - 1 AND b.x1 + 1 AND cy BETWEEN b.y0 - 1 AND b.y1 + 1)
-SELECT c.ord, CASE WHEN line_no % 13 = 0 THEN 'furniture' WHEN region IS NOT NULL THEN 'region' WHEN k.ord IS NOT NULL THEN 'cell' ELSE 'body' END AS place, CASE WHEN line_no % 13 <> 0 THEN region END AS region
-FROM c LEFT JOIN r ON r.ord = c.ord LEFT JOIN k ON k.ord = c.ord""")
+@query("WITH RECURSIVE" + _LINES.removeprefix("WITH") + """, c AS MATERIALIZED (
+  SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_no, line_no) AS i FROM l WHERE ord % 4 > 1 AND line_no % 13 <> 0
+), g AS (
+  SELECT doc_id, page_no, list({'r': ord, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1} ORDER BY ord) AS around FROM b WHERE ord % 40 = 0 GROUP BY doc_id, page_no
+), w AS (
+  SELECT doc_id, page_no, CAST(0 AS BIGINT) AS i, around, CAST(0 AS BIGINT) AS home, CAST(0 AS BIGINT) AS ord FROM g
+  UNION ALL
+  SELECT doc_id, page_no, i, list_transform(around, lambda r, n: CASE WHEN n = home THEN {'r': r.r, 'x0': least(r.x0, x0), 'y0': least(r.y0, y0), 'x1': greatest(r.x1, x1), 'y1': greatest(r.y1, y1)} ELSE r END), home, ord FROM (
+    SELECT w.doc_id, w.page_no, c.i, around, c.ord, x0, y0, x1, y1, CAST(coalesce(list_position(list_transform(around, lambda r: c.cx >= r.x0 AND c.cx <= r.x1 AND c.cy >= r.y0 AND c.cy <= r.y1), TRUE), 0) AS BIGINT) AS home
+    FROM w JOIN c ON c.doc_id = w.doc_id AND c.page_no = w.page_no AND c.i = w.i + 1)
+), o AS (SELECT ord, around[home].r AS region FROM w WHERE i > 0 AND home > 0
+), k AS (SELECT DISTINCT c.ord FROM c JOIN b ON b.ord % 4 = 1 AND b.doc_id = c.doc_id AND b.page_no = c.page_no AND cx BETWEEN b.x0 - 1 AND b.x1 + 1 AND cy BETWEEN b.y0 - 1 AND b.y1 + 1)
+SELECT l.ord, CASE WHEN line_no % 13 = 0 THEN 'furniture' WHEN region IS NOT NULL THEN 'region' WHEN k.ord IS NOT NULL THEN 'cell' ELSE 'body' END AS place, region
+FROM l LEFT JOIN o ON o.ord = l.ord LEFT JOIN k ON k.ord = l.ord WHERE l.ord % 4 > 1""")
 def j7_routes(spark: SparkSession, folder: str) -> DataFrame:
     all_, lines = boxes(spark, folder), _lines(spark, folder).withColumn("ord", (F.col("block_no") * 100 + F.col("line_no")).cast("long")).where("ord % 4 > 1")
-    regions = all_.where("ord % 4 = 0").withColumnRenamed("ord", "region")
-    return model.route_lines(lines, lines.where("line_no % 13 = 0"), regions, all_.where("ord % 4 = 1")).select("ord", "place", "region")
+    regions = all_.where("ord % 40 = 0").withColumnRenamed("ord", "region")
+    return model.route_lines(lines, lines.where("line_no % 13 = 0"), regions, all_.where("ord % 4 = 1")).select("ord", "place", F.col("region").cast("long").alias("region"))
+
+
+# spans that need repair, and what becomes of each by itself: a blank before a mark, a composition, a whole SARA AM and marks in
+# disorder count only within a span
+_RAW = ["ก", " ", "า", "ก า", "\u1112\u1161", "\u1112", "\u1161", "x\u200by", "\u0e4d\u0e32", "ก\u0e48\u0e38", "a\u00a0b", "\u0001", "e\u0301"]
+_WHOLE = ["ก", " ", "า", "กา", "\ud558", "\u1112", "\u1161", "xy", "\u0e33", "ก\u0e38\u0e48", "a b", "", "\u00e9"]
+_SPAN = "[" + ", ".join(f"'{t}'" for t in _WHOLE) + "]"
+
+
+@query(f"SELECT p_partkey AS ord, {_SPAN}[1 + p_partkey % 13] || {_SPAN}[1 + (p_partkey // 13) % 13] || {_SPAN}[1 + (p_partkey // 7) % 13] AS text FROM part")
+def p29_repaired_lines(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("p_partkey").cast("int")
+    of = lambda n: F.struct(F.array(*map(F.lit, _RAW))[n % 13].alias("text"))
+    made = F.array(of(k), of(F.floor(k / 13).cast("int")), of(F.floor(k / 7).cast("int")))
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("ord"), made.alias("spans")).select("ord", model.line_text().alias("text"))
+
+
+# each part is a page with 6 + k % 6 lines in or beside twelve drawings that form one region, which on some pages is a table
+@query("""SELECT p_partkey % 7 AS doc_id, CAST(p_partkey AS INTEGER) AS page_no, 6 + p_partkey % 6 >= 8 AND p_partkey % 2 = 0 AND p_partkey % 5 <> 0 AS is_designed FROM part""")
+def f4_diagrams(spark: SparkSession, folder: str) -> DataFrame:
+    k, i = F.col("ord"), F.col("i")
+    pages = table(spark, folder, "part").select((F.col("p_partkey") % 7).alias("doc_id"), F.col("p_partkey").cast("int").alias("page_no"), F.lit(600.0).alias("width"), F.lit(840.0).alias("height"), F.col("p_partkey").cast("int").alias("ord"))
+    box = lambda x0, y0, x1, y1: [v.cast("double").alias(n) for v, n in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"), strict=True)]
+    drawn = pages.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11)))).select("doc_id", "page_no", i.alias("ord"), *box(100 + i * 10, 100 + i * 10, 110 + i * 10, 110 + i * 10), F.array(F.lit(1.0)).alias("fill"))
+    side = F.when(k % 2 == 0, 0).otherwise(300)
+    span = F.struct(F.lit("label").alias("text"), F.lit(9.0).alias("size"))
+    lines = pages.withColumn("i", F.explode(F.sequence(F.lit(0), 5 + k % 6))).select("doc_id", "page_no", F.lit(0).alias("block_no"), i.alias("line_no"), *box(side + 105, 105 + i * 8, side + 145, 112 + i * 8), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.array(span).alias("spans"))
+    tables = pages.where(k % 5 == 0).select("doc_id", "page_no", *box(F.lit(95), F.lit(95), F.lit(230), F.lit(230)))
+    none = drawn.where("false").select("*", F.lit(9).alias("pixel_width"), F.lit(9).alias("pixel_height"))
+    return model.designed_pages(pages, lines, none, drawn, tables).select("doc_id", "page_no", "is_designed")
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'Page ' || (1 + p_partkey % 30) || ' of 40' WHEN p_partkey % 3 = 1 THEN '- ' || (1 + p_partkey % 30) || ' -' ELSE p_name END AS text, p_partkey % 3 = 2 AS plain FROM part)
+SELECT k % 7 AS doc_id, CAST(k AS INTEGER) AS page_no, ['left', 'center', 'right'][1 + k % 3] AS align, text, CASE WHEN NOT plain THEN CAST(1 + k % 30 AS VARCHAR) END AS field, CASE WHEN k % 3 = 0 THEN '40' END AS total,
+  CASE k % 3 WHEN 0 THEN 'text=Page |page=' || (1 + k % 30) || '|text= of |pages=40' WHEN 1 THEN 'text=- |page=' || (1 + k % 30) || '|text= -' ELSE 'text=' || text END AS runs FROM t""")
+def w13_header_runs(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("p_partkey").cast("int")
+    number = (1 + k % 30).cast("string")
+    pieces = F.when(k % 3 == 0, F.array(F.lit(" "), F.lit("Page "), number, F.lit(" of 40"), F.lit(" "))).when(k % 3 == 1, F.array(F.lit("- "), number, F.lit(" -"))).otherwise(F.array(F.lit(""), F.col("p_name")))
+    spans = F.transform(pieces, lambda t: F.struct(t.alias("text"), F.lit(9.0).alias("size"), F.lit("Arial").alias("font"), F.lit(0).alias("flags"), F.lit(0).alias("color")))
+    x = (k % 3) * 200.0 + 50
+    lines = table(spark, folder, "part").select((F.col("p_partkey") % 7).alias("doc_id"), k.alias("page_no"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), x.alias("x0"), F.lit(20.0).alias("y0"), (x + 100).alias("x1"), F.lit(30.0).alias("y1"), spans.alias("spans"))
+    found = model.header_paragraphs(lines, _pages(lines))
+    return found.select("doc_id", "page_no", "align", "text", "field", "total", F.array_join(F.transform("runs", lambda r: F.concat_ws("=", r["kind"], r["text"])), "|").alias("runs"))
