@@ -178,3 +178,54 @@ def test_untested_of_old(spark):
     one = spark.createDataFrame([(1, i, f"t{i}") for i in range(3)], "doc_id long, page_no int, text string")
     joined, marks = pages.combine([one, one], ["first.pdf", "second.pdf"])
     assert joined.count() == 6 and marks.count() == 2
+
+
+def test_lines_are_repaired_span_by_span(spark):
+    """A blank before a mark is stray only within a span; composition is of one span, too; control characters go."""
+    cases = {("ก", " ", "า"): "ก า", ("ก า",): "กา", ("하",): "하", ("ᄒ", "ᅡ"): "하", ("a\u0001", "b"): "ab", (): "", (None, "x"): "x", ("é", "́"): "é́"}
+    df = spark.createDataFrame([(i, [span(t) for t in c]) for i, c in enumerate(cases)], f"id int, spans array<{SPAN}>")
+    assert {r["id"]: r["t"] for r in df.select("id", model.line_text().alias("t")).collect()} == dict(enumerate(cases.values()))
+
+
+def test_tables_make_no_diagram(spark, sizes):
+    """Twelve lines within a ruled table: a diagram only as long as nobody says that it is a table."""
+    lines = spark.createDataFrame([line(0, i, (100, 100 + i * 10, 200, 108 + i * 10), span("cell text")) for i in range(12)], LINE)
+    drawn = spark.createDataFrame([(1, 0, i, 90.0, 95.0 + i * 10, 300.0, 96.0 + i * 10, [1.0]) for i in range(13)], f"doc_id long, page_no int, ord int, {BOX}, fill array<double>")
+    none = drawn.limit(0).select("*", F.lit(1).alias("pixel_width"), F.lit(1).alias("pixel_height"))
+    table = spark.createDataFrame([(1, 0, 90.0, 95.0, 300.0, 216.0)], f"doc_id long, page_no int, {BOX}")
+    page = sizes.where("page_no = 0")
+    assert got(model.designed_pages(page, lines, none, drawn), "is_designed") == [(True,)]
+    assert got(model.designed_pages(page, lines, none, drawn, table), "is_designed") == [(False,)]
+
+
+def test_regions_grow(spark):
+    """A label that sticks out takes its region along: the next line lies in what it has become, one before it doesn't; furniture takes nothing."""
+    lines = spark.createDataFrame([line(0, 0, (150, 40, 170, 50), span("before")), line(0, 1, (80, 40, 160, 50), span("sticks out")), line(0, 2, (130, 40, 170, 50), span("after")), line(0, 3, (60, 60, 400, 70), span("furniture")), line(0, 4, (300, 60, 320, 70), span("beside"))], LINE)
+    regions = spark.createDataFrame([(1, 0, 0, 50.0, 30.0, 130.0, 90.0)], f"doc_id long, page_no int, region int, {BOX}")
+    furniture = spark.createDataFrame([(1, 0, 0, 3)], "doc_id long, page_no int, block_no int, line_no int")
+    routed = model.route_lines(lines, furniture, regions, regions.limit(0))
+    assert got(routed, "line_no", "place", "region") == [(0, "body", None), (1, "region", 0), (2, "region", 0), (3, "furniture", None), (4, "body", None)]
+    assert got(model.grown_regions(routed, regions), "x0", "y0", "x1", "y1") == [(50.0, 30.0, 170.0, 90.0)]
+    assert got(model.route_lines(lines.limit(0), furniture, regions, regions), "place") == []
+
+
+def test_frames_of_shown_lines(spark, sizes):
+    df = spark.createDataFrame([line(0, 0, (10, 10, 60, 20), span("​"), span("")), line(0, 1, (10, 30, 60, 40)), line(0, 2, (10, 50, 60, 60), span(" "))], LINE)
+    assert got(model.frames(df, sizes), "y") == [(50.0,)]
+
+
+def test_header_runs(spark, sizes):
+    """A number in the middle of a text becomes a field that looks like the first run; a total in Thai digits says so; other lines keep their runs, without the blanks at both ends."""
+    bold = lambda t: span(t, 9.0, "Arial-BoldMT")
+    heads = spark.createDataFrame([line(0, 0, (40, 10, 90, 18), span("  "), bold(" หน้า "), span("๓"), span(" จาก ๑๒ |")), line(0, 1, (40, 20, 90, 28), span(" one "), bold("two ")), line(0, 2, (40, 30, 90, 38), span("ก"))], LINE)
+    found = {r["ord"]: r for r in model.header_paragraphs(heads, sizes).collect()}
+    assert [(r["kind"], r["text"], r["thai"], r["size"], r["style"]["bold"]) for r in found[0]["runs"]] == [("text", "หน้า ", False, 9.0, True), ("page", "๓", False, 9.0, True), ("text", " จาก ", False, 9.0, True), ("pages", "๑๒", True, 9.0, True), ("text", " |", False, 9.0, True)]
+    assert [(r["kind"], r["text"], r["size"]) for r in found[1]["runs"]] == [("text", "one ", 12.0), ("text", "two", 9.0)]
+    assert (found[0]["field"], found[0]["total"], found[2]["field"], found[2]["total"], found[1]["field"]) == ("๓", "๑๒", "ก", None, None)
+
+
+def test_relative_paths(spark):
+    files = lambda *paths: spark.createDataFrame(list(enumerate(paths)), "ord int, path string")
+    new = files("x.pdf", "/x.pdf", "a/../x.pdf", "../x.pdf", "../a/../x.pdf", "/../y.PDF", "./b//c.pdf", "n.txt", None)
+    assert got(model.add_files(files("b/c.pdf"), new), "path") == [("../x.pdf",), ("/../y.PDF",), ("/x.pdf",), ("x.pdf",)]
+    assert got(model.add_files(files("/b/c.pdf"), new, folder="/"), "path") == [("/../y.PDF",), ("x.pdf",)]
