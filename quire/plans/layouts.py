@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators import layout, search
+from quire.operators import compare, layout, search
 from quire.plans.registry import query
 from quire.sources.tables import BOXES_SQL, boxes, table, turns
 
@@ -41,6 +41,25 @@ def w4_sections(spark: SparkSession, folder: str) -> DataFrame:
     return layout.sections(pages)
 
 
+# each part is a document of twelve words, of which the new version has one replaced and, on some, one six words further gone
+@query("""
+WITH p AS (SELECT p_partkey AS k, CAST(p_partkey % 12 AS INTEGER) AS r, CASE WHEN p_partkey % 3 = 0 THEN CAST((p_partkey + 6) % 12 AS INTEGER) END AS d FROM part
+), m AS (
+  SELECT k, CASE WHEN d < r THEN 1 ELSE 0 END AS ord, 'Highlight' AS type, 'Replaced: w' || r || ' -> X' AS content, 10.0 * (r - CASE WHEN d < r THEN 1 ELSE 0 END) AS x0, 10.0 * (r - CASE WHEN d < r THEN 1 ELSE 0 END) + 8 AS x1 FROM p
+  UNION ALL SELECT k, CASE WHEN r < d THEN 1 ELSE 0 END, 'Caret', 'Deleted: w' || d, CASE WHEN d < 11 THEN 10.0 * d ELSE 108.0 END, CASE WHEN d < 11 THEN 10.0 * d ELSE 108.0 END FROM p WHERE d IS NOT NULL
+)
+SELECT k AS doc_id, 0 AS page_no, ord, type, content, CAST(x0 AS DOUBLE) AS x0, CAST(5 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(15 AS DOUBLE) AS y1 FROM m""")
+def e5_comparison_marks(spark: SparkSession, folder: str) -> DataFrame:
+    k, i = F.col("p_partkey"), F.sequence(F.lit(0), F.lit(11))
+    name = lambda n: F.concat(F.lit("w"), n.cast("string"))
+    changed = F.filter(F.transform(i, lambda n: F.when(n == k % 12, "X").when((k % 3 == 0) & (n == (k + 6) % 12), None).otherwise(name(n))), lambda w: w.isNotNull())
+    part = table(spark, folder, "part")
+    old = part.select(k.alias("doc_id"), F.posexplode(F.transform(i, name)).alias("ord", "word")).withColumn("page_no", F.lit(0))
+    new = part.select(k.alias("doc_id"), F.posexplode(changed).alias("ord", "word")).withColumn("page_no", F.lit(0))
+    boxed = new.withColumns({"x0": F.col("ord") * 10.0, "y0": F.lit(5.0), "x1": F.col("ord") * 10.0 + 8, "y1": F.lit(15.0)})
+    return compare.marks(boxed, old)
+
+
 @query()
 def j19_compare(spark: SparkSession, folder: str) -> DataFrame:
     """What users and assistants say in a conversation, compared as two versions."""
