@@ -1,7 +1,7 @@
 """Joins by order and by place, and statistics that break ties by position.
 
-Boxes are columns x0, y0, x1, y1. Joins by place always go by document and page first, so they compare what lies on one
-page only; the as-of join has no comparison at all: it is one window over the union of both sides.
+Boxes are columns x0, y0, x1, y1. Joins by place go by document, page and cell of a grid on the page, so they compare
+what lies close together only; the as-of join has no comparison at all: it is one window over the union of both sides.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.grid import centred, home, listed, placed, same_cell
+
 PAGE = ["doc_id", "page_no"]
 
 
@@ -44,9 +46,8 @@ def overlap(a: str, b: str) -> Column:
 
 def at_point(points: DataFrame, boxes: DataFrame, pick: str = "smallest", slack: float = 0.0, keep_unmatched: bool = False) -> DataFrame:
     """points (doc_id, page_no, point, x, y) with box, the ord of the box there: the smallest, the first or the topmost (last)."""
-    p, b = points.alias("p"), boxes.alias("b")
-    same = (F.col("p.doc_id") == F.col("b.doc_id")) & (F.col("p.page_no") == F.col("b.page_no"))
-    met = p.join(b, same & contains("b", F.col("p.x"), F.col("p.y"), slack), "left" if keep_unmatched else "inner")
+    p, b = placed(points, "x", "y").alias("p"), listed(boxes, slack).alias("b")
+    met = p.join(b, same_cell("p", "b") & contains("b", F.col("p.x"), F.col("p.y"), slack), "left" if keep_unmatched else "inner")
     order = {"smallest": F.struct(area("b"), F.col("b.ord")), "first": F.struct(F.col("b.ord")), "topmost": F.struct(-F.col("b.ord"))}[pick]
     return met.groupBy("p.doc_id", "p.page_no", "p.point").agg(F.min_by(F.col("b.ord"), F.when(F.col("b.ord").isNotNull(), order)).alias("box"))
 
@@ -55,18 +56,14 @@ def _centre(a: str) -> tuple[Column, Column]:
     return (F.col(f"{a}.x0") + F.col(f"{a}.x1")) / 2, (F.col(f"{a}.y0") + F.col(f"{a}.y1")) / 2
 
 
-def _same_page(a: str, b: str) -> Column:
-    return (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.page_no") == F.col(f"{b}.page_no"))
-
-
 def outside(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """The boxes whose centre no region of their page contains."""
-    return boxes.alias("a").join(regions.alias("b"), _same_page("a", "b") & contains("b", *_centre("a")), "left_anti")
+    return centred(boxes).alias("a").join(listed(regions).alias("b"), same_cell("a", "b") & contains("b", *_centre("a")), "left_anti").select(boxes.columns)
 
 
 def in_cells(lines: DataFrame, cells: DataFrame, slack: float = 1.0) -> DataFrame:
     """Lines by the cell (ord) that their centre lies in, in reading order: cell, line, place (from 0)."""
-    met = lines.alias("a").join(cells.alias("b"), _same_page("a", "b") & contains("b", *_centre("a"), slack))
+    met = centred(lines).alias("a").join(listed(cells, slack).alias("b"), same_cell("a", "b") & contains("b", *_centre("a"), slack))
     rows = met.select("a.doc_id", "a.page_no", F.col("b.ord").alias("cell"), F.col("a.ord").alias("line"), F.bround("a.y0", 1).alias("y"), F.col("a.x0").alias("x"))
     order = Window.partitionBy("doc_id", "page_no", "cell").orderBy("y", "x", "line")
     return rows.withColumn("place", F.row_number().over(order) - 1).drop("y", "x")
@@ -74,29 +71,29 @@ def in_cells(lines: DataFrame, cells: DataFrame, slack: float = 1.0) -> DataFram
 
 def shading(cells: DataFrame, fills: DataFrame, table_area: float) -> DataFrame:
     """cells with fill, the ord of the smallest fill that holds a cell's centre, is at least half the cell and under nine tenths of the table."""
-    met = cells.alias("a").join(fills.alias("b"), _same_page("a", "b") & contains("b", *_centre("a")) & (area("b") >= 0.5 * area("a")) & (area("b") < 0.9 * table_area), "left")
+    met = centred(cells).alias("a").join(listed(fills).alias("b"), same_cell("a", "b") & contains("b", *_centre("a")) & (area("b") >= 0.5 * area("a")) & (area("b") < 0.9 * table_area), "left")
     return met.groupBy("a.doc_id", "a.page_no", F.col("a.ord").alias("ord")).agg(F.min_by(F.col("b.ord"), F.when(F.col("b.ord").isNotNull(), F.struct(area("b"), F.col("b.ord")))).alias("fill"))
 
 
 def outermost(cells: DataFrame, tolerance: float = 1.5, ratio: float = 1.05) -> DataFrame:
     """Cells that no clearly larger cell of the same table contains."""
-    a, b = cells.alias("a"), cells.alias("b")
+    a, b = placed(cells, "x0", "y0").alias("a"), listed(cells, tolerance).alias("b")  # what contains a box contains its corner
     inside = (F.col("a.x0") >= F.col("b.x0") - tolerance) & (F.col("a.x1") <= F.col("b.x1") + tolerance) & (F.col("a.y0") >= F.col("b.y0") - tolerance) & (F.col("a.y1") <= F.col("b.y1") + tolerance)
-    return a.join(b, _same_page("a", "b") & (F.col("a.table_no") == F.col("b.table_no")) & inside & (area("b") > ratio * area("a")), "left_anti")
+    return a.join(b, same_cell("a", "b") & (F.col("a.table_no") == F.col("b.table_no")) & inside & (area("b") > ratio * area("a")), "left_anti").select(cells.columns)
 
 
 def overlapping_tables(strict: DataFrame, plain: DataFrame, share: float = 0.5) -> DataFrame:
     """Pairs of tables (ord, other) of a page that share at least half of the first one's area."""
-    met = strict.alias("a").join(plain.alias("b"), _same_page("a", "b") & (overlap("a", "b") >= share * area("a")) & (area("a") > 0))
+    met = listed(strict).alias("a").join(listed(plain).alias("b"), same_cell("a", "b") & home("a", "b") & (overlap("a", "b") >= share * area("a")) & (area("a") > 0))
     return met.select("a.doc_id", "a.page_no", "a.ord", F.col("b.ord").alias("other"))
 
 
 def rules(drawings: DataFrame, exclude: DataFrame, slack: float = 2.0) -> DataFrame:
     """Horizontal rules among drawings (kind line or rect): flat lines, and rectangles at most 4 high and at least 20 wide, outside `exclude`."""
     flat = ((F.col("kind") == "line") & (F.abs(F.col("y1") - F.col("y0")) <= 0.5)) | ((F.col("kind") == "rect") & (F.col("y1") - F.col("y0") <= 4) & (F.col("x1") - F.col("x0") >= 20))
-    a, b = drawings.where(flat).alias("a"), exclude.alias("b")
+    a, b = placed(drawings.where(flat), "x0", "y0").alias("a"), listed(exclude, slack).alias("b")
     inside = (F.col("a.x0") >= F.col("b.x0") - slack) & (F.col("a.x1") <= F.col("b.x1") + slack) & (F.col("a.y0") >= F.col("b.y0") - slack) & (F.col("a.y1") <= F.col("b.y1") + slack)
-    return a.join(b, _same_page("a", "b") & inside, "left_anti")
+    return a.join(b, same_cell("a", "b") & inside, "left_anti").select(drawings.columns)
 
 
 def glyph_fixes(glyphs: DataFrame, fonts: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def f1_undecodable(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_matches(text, '{_PAGE_NUMBER}') AS page_number,
-       regexp_matches(text, '{T.LIST_ITEM}') AS list_item, regexp_matches(text, '{T.LEADER}') AS contents_line FROM ({_LINES})
+       regexp_matches(text, '{T.LIST_ITEM}') AS list_item, regexp_matches(text, '{T.ENTRY}') AS contents_line FROM ({_LINES})
 """)
 def f12_line_classes(spark: SparkSession, folder: str) -> DataFrame:
     return search.lines(_docs(spark, folder)).select("doc_id", "line_no", T.is_page_number("text").alias("page_number"), T.is_list_item("text").alias("list_item"), T.is_contents_line("text").alias("contents_line"))

@@ -23,16 +23,16 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """A layout made of the parts' numbers: doc_id, page_no, ord, x0, y0, x1, y1. The tables hold no geometry of their own."""
+    """A layout made of the parts' numbers: doc_id, page_no, ord, x0, y0, x1, y1, a hundred on a page. The tables hold no geometry of their own."""
     k = F.col("p_partkey")
-    corner = table(spark, folder, "part").select((k % 7).alias("doc_id"), (k % 3).cast("int").alias("page_no"), k.alias("ord"), (k * 37 % 500).cast("double").alias("x0"), (k * 91 % 700).cast("double").alias("y0"), "p_size")
+    corner = table(spark, folder, "part").select((k % 7).alias("doc_id"), F.floor(k / 700).cast("int").alias("page_no"), k.alias("ord"), (k * 37 % 500).cast("double").alias("x0"), (k * 91 % 700).cast("double").alias("y0"), "p_size")
     return corner.select("doc_id", "page_no", "ord", "x0", "y0", (F.col("x0") + 10 + F.col("p_size") * 3).alias("x1"), (F.col("y0") + 8 + F.col("p_size") * 2).alias("y1"))
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
     """Places on the pages of boxes(), from the customers' numbers: doc_id, page_no, point, x, y."""
     k = F.col("c_custkey")
-    return table(spark, folder, "customer").select((k % 7).alias("doc_id"), (k % 3).cast("int").alias("page_no"), k.alias("point"), (k * 53 % 560).cast("double").alias("x"), (k * 71 % 780).cast("double").alias("y"))
+    return table(spark, folder, "customer").select((k % 7).alias("doc_id"), F.floor(k / 700).cast("int").alias("page_no"), k.alias("point"), (k * 53 % 560).cast("double").alias("x"), (k * 71 % 780).cast("double").alias("y"))
 
 
 def sheets(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,13 +44,13 @@ def sheets(spark: SparkSession, folder: str) -> DataFrame:
 
 #: boxes() and points() for an SQL engine over the same tables.
 BOXES_SQL = """
-SELECT p_partkey % 7 AS doc_id, CAST(p_partkey % 3 AS INTEGER) AS page_no, p_partkey AS ord,
+SELECT p_partkey % 7 AS doc_id, CAST(p_partkey // 700 AS INTEGER) AS page_no, p_partkey AS ord,
        CAST(p_partkey * 37 % 500 AS DOUBLE) AS x0, CAST(p_partkey * 91 % 700 AS DOUBLE) AS y0,
        CAST(p_partkey * 37 % 500 AS DOUBLE) + 10 + p_size * 3 AS x1, CAST(p_partkey * 91 % 700 AS DOUBLE) + 8 + p_size * 2 AS y1
 FROM part
 """
 POINTS_SQL = """
-SELECT c_custkey % 7 AS doc_id, CAST(c_custkey % 3 AS INTEGER) AS page_no, c_custkey AS point,
+SELECT c_custkey % 7 AS doc_id, CAST(c_custkey // 700 AS INTEGER) AS page_no, c_custkey AS point,
        CAST(c_custkey * 53 % 560 AS DOUBLE) AS x, CAST(c_custkey * 71 % 780 AS DOUBLE) AS y
 FROM customer
 """
