@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators import compare, layout, search
+from quire.operators import compare, flow, layout, search
 from quire.plans.registry import query
 from quire.sources.tables import BOXES_SQL, boxes, table, turns
 
@@ -35,6 +35,24 @@ def w3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return layout.paragraph_text(layout.paragraphs(laid))
 
 
+# each part is a paragraph of one to four rows, some of them indented, centred, to the right, or full
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_name AS name, p_partkey % 4 AS n, CASE p_partkey % 5 WHEN 0 THEN 150.0 WHEN 1 THEN 300.0 WHEN 2 THEN 92.0 ELSE 72.0 END AS x, CASE p_partkey % 5 WHEN 0 THEN 445.0 WHEN 3 THEN 400.0 ELSE 522.0 END AS z FROM part
+), a AS (
+  SELECT *, CASE WHEN k % 5 = 0 THEN 'center' WHEN k % 5 = 1 AND n = 0 THEN 'right' WHEN n >= 2 AND k % 5 <> 3 THEN 'both' ELSE 'left' END AS align FROM p)
+SELECT k AS doc_id, name || repeat(' ' || name, CAST(n AS INTEGER)) AS text, align,
+  CAST(CASE WHEN align IN ('left', 'both') AND CASE WHEN n = 0 OR k % 5 <> 2 THEN x ELSE 72 END - 72 > 2 THEN CASE WHEN n = 0 OR k % 5 <> 2 THEN x ELSE 72 END - 72 END AS DOUBLE) AS left_indent,
+  CAST(CASE WHEN align IN ('left', 'both') AND k % 5 = 2 AND n > 0 THEN 20.0 END AS DOUBLE) AS first_indent FROM a""")
+def w11_flowed_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    k, i = F.col("p_partkey"), F.col("row_no")
+    rows = table(spark, folder, "part").withColumn("row_no", F.explode(F.sequence(F.lit(0), (k % 4).cast("int"))))
+    x0 = F.when(k % 5 == 0, 150.0).when(k % 5 == 1, 300.0).when((k % 5 == 2) & (i == 0), 92.0).otherwise(72.0)
+    x1 = F.when(k % 5 == 0, 445.0).when(k % 5 == 3, 400.0).otherwise(522.0)
+    cells = rows.select(k.alias("doc_id"), F.lit(0).alias("para_no"), "row_no", F.lit(0).alias("cell_no"), x0.alias("x0"), x1.alias("x1"), F.lit(72.0).alias("left"), F.lit(523.0).alias("right"), F.array(F.struct(F.lit("k").alias("key"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("text"))).alias("runs"))
+    found = flow.flowed(cells)
+    return found.select("doc_id", F.regexp_replace(F.array_join(F.transform("runs", lambda r: r["text"]), ""), " +", " ").alias("text"), "align", "left_indent", "first_indent")
+
+
 @query()
 def w4_sections(spark: SparkSession, folder: str) -> DataFrame:
     pages = turns(spark, folder).select("doc_id", "page_no", F.lit(595.0).alias("width"), F.when(F.length("text") % 3 == 0, 842.0).otherwise(595.0).alias("height"), F.col("role").alias("numbering"))
