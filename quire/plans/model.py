@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import model
+from quire.operators import export, model
 from quire.plans.registry import query
 from quire.sources.tables import BOXES_SQL, boxes, table, turns
 
@@ -238,3 +238,45 @@ def w13_header_runs(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "part").select((F.col("p_partkey") % 7).alias("doc_id"), k.alias("page_no"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), x.alias("x0"), F.lit(20.0).alias("y0"), (x + 100).alias("x1"), F.lit(30.0).alias("y1"), spans.alias("spans"))
     found = model.header_paragraphs(lines, _pages(lines))
     return found.select("doc_id", "page_no", "align", "text", "field", "total", F.array_join(F.transform("runs", lambda r: F.concat_ws("=", r["kind"], r["text"])), "|").alias("runs"))
+
+
+def _exported(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each part is a page of one of seven documents: some without lines, some of signs that mean nothing, some in huge letters, in two sizes and two ways of numbering."""
+    k, i = F.col("p_partkey").cast("int"), F.col("i")
+    part = table(spark, folder, "part").withColumn("doc_id", F.col("p_partkey") % 7).withColumn("page_no", k)
+    pages = part.select("doc_id", "page_no", F.when(F.floor(k / 50) % 2 == 0, 600.0).otherwise(500.0).alias("width"), F.lit(840.0).alias("height"))
+    number = F.when(F.floor(k / 70) % 2 == 0, "Page 12").otherwise("- xii -")
+    text = F.when(k % 11 == 0, "").when((i == 0) & (k % 3 == 0), number).otherwise(F.col("p_name"))
+    spans = F.array(F.struct(text.alias("text"), F.when((k % 5 == 0) & (i == 1), 40.0).otherwise(12.0).alias("size"), F.when(k % 2 == 0, "Arial-BoldMT").otherwise("Tahoma").alias("font"), F.lit(0).alias("flags"), F.lit(0).alias("color")))
+    lines = part.where("page_no % 13 > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("doc_id", "page_no", F.lit(0).alias("block_no"), i.alias("line_no"), F.lit(100.0).alias("x0"), (10 + i * 300.0).alias("y0"), F.lit(300.0).alias("x1"), (22 + i * 300.0).alias("y1"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), spans.alias("spans"))
+    images = pages.where("page_no % 4 = 0").select("doc_id", "page_no", F.col("page_no").alias("ord"), (F.col("page_no") % 9).alias("xref"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(30.0).alias("x1"), F.lit(30.0).alias("y1"), F.lit(9).alias("pixel_width"), F.lit(9).alias("pixel_height"))
+    return pages, lines, images
+
+
+_EXPORTED = """
+p AS MATERIALIZED (
+  SELECT p_partkey % 7 AS doc_id, p_partkey AS k, CASE WHEN p_partkey % 13 = 0 OR p_partkey % 11 = 0 THEN 'picture' WHEN p_partkey % 5 = 0 THEN 'pinned' ELSE 'flow' END AS route, p_partkey % 11 = 0 AND p_partkey % 13 > 0 AS reported,
+    CASE WHEN p_partkey // 50 % 2 = 0 THEN 600 ELSE 500 END AS w, CASE WHEN p_partkey % 3 = 0 THEN p_partkey // 70 % 2 END AS f, row_number() OVER (PARTITION BY p_partkey % 7 ORDER BY p_partkey) AS n FROM part
+), s AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS n, -1 AS section, NULL::INTEGER AS w, NULL::BIGINT AS f FROM p WHERE n = 1
+  UNION ALL
+  SELECT p.doc_id, p.n, s.section + CASE WHEN p.route <> 'flow' OR s.w IS NULL OR s.w <> p.w OR s.f <> p.f THEN 1 ELSE 0 END, CASE WHEN p.route = 'flow' THEN p.w END,
+    CASE WHEN p.route <> 'flow' THEN NULL WHEN s.w IS NULL OR s.w <> p.w OR s.f <> p.f THEN p.f ELSE coalesce(p.f, s.f) END
+  FROM s JOIN p ON p.doc_id = s.doc_id AND p.n = s.n + 1
+), r AS MATERIALIZED (SELECT p.*, section FROM p JOIN s USING (doc_id, n))"""
+
+
+@query(f"WITH RECURSIVE {_EXPORTED} SELECT doc_id, CAST(k AS INTEGER) AS page_no, route, reported, section FROM r")
+def k6_page_routes(spark: SparkSession, folder: str) -> DataFrame:
+    pages, lines, images = _exported(spark, folder)
+    return export.page_routes(pages, lines, images, images.where("false").withColumn("fill", F.array(F.lit(1.0))))
+
+
+@query(f"""WITH RECURSIVE {_EXPORTED}
+SELECT doc_id, count(*) AS pages, max(section) + 1 AS sections, coalesce(string_agg(CASE WHEN reported THEN CAST(k + 1 AS VARCHAR) END, ',' ORDER BY k), '') AS picture_pages, count_if(route = 'pinned') AS pinned_pages,
+  count_if(route = 'picture') + count(DISTINCT CASE WHEN route <> 'picture' AND k % 4 = 0 THEN k % 9 END) AS images,
+  array_to_string(list_sort(list(DISTINCT CASE WHEN k % 2 = 0 THEN 'Arial Bold' ELSE 'Tahoma Regular' END) FILTER (route <> 'picture')), ',') AS fonts FROM r GROUP BY doc_id""")
+def k6_export_summary(spark: SparkSession, folder: str) -> DataFrame:
+    pages, lines, images = _exported(spark, folder)
+    routes = export.page_routes(pages, lines, images, images.where("false").withColumn("fill", F.array(F.lit(1.0))))
+    return export.export_summary(routes, lines, images).withColumns({"picture_pages": F.array_join("picture_pages", ","), "fonts": F.array_join("fonts", ",")})
