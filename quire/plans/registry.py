@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return register
 
 
-from quire.plans import documents, events, fonts, geometry, layouts, model, pages, rulings  # noqa: E402, F401  (they register their queries)
+from quire.plans import documents, events, fonts, geometry, layouts, literals, model, pages, rulings  # noqa: E402, F401  (they register their queries)

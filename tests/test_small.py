@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import flow, pages, relate, search
+from quire.operators import edits, flow, pages, relate, search
 
 
 def got(df, *names):
@@ -94,3 +94,34 @@ def test_alignment(spark):
     assert (first["left_indent"], first["first_indent"]) == (10.0, 30.0)
     hanging = paragraph(spark, row(100, 500, [("a", "1."), ("b", "   text")]), row(130, 480))
     assert (hanging["left_indent"], hanging["first_indent"]) == (30.0, -30.0) and pieces(hanging)[:2] == [("a", "1."), ("b", "\ttext")]
+
+
+BOX = "x0 double, y0 double, x1 double, y1 double"
+
+
+def test_verified_moves(spark):
+    """The span that moved may miss its place by 1.5; another that changed, went or came, or one that isn't where it should be, fails its page only."""
+    spans = lambda *rows: spark.createDataFrame([(1, p, o, t, x, 0.0, x + 10, 9.0) for p, o, t, x in rows], f"doc_id long, page_no int, ord int, text string, {BOX}")
+    before = spans(*[(p, o, t, 20.0 * o) for p in range(7) for o, t in enumerate(["a", "b", "a"])])
+    moves = spark.createDataFrame([(1, p, 0, 5.0, 0.0) for p in range(6)] + [(1, 6, 9, 5.0, 0.0)], "doc_id long, page_no int, ord int, dx double, dy double")
+    rest = [(1, "b", 20.0), (2, "a", 40.0)]
+    after = {0: [(0, "a", 6.4), *rest], 1: [(0, "a", 6.6), *rest], 2: [(0, "a", 5.0), (1, "b", 20.04), rest[1]], 3: [(0, "a", 5.0), (1, "b", 20.2), rest[1]], 4: [(0, "a", 5.0), rest[1]], 5: [(0, "a", 5.0), *rest, rest[1]], 6: [(0, "a", 0.0), *rest]}
+    found = edits.verified_moves(before, spans(*[(p, *s) for p, own in after.items() for s in own]), moves)
+    assert got(found, "page_no", "verified") == [(0, True), (1, False), (2, True), (3, False), (4, False), (5, False), (6, False)]
+
+
+def test_undo_and_redo(spark):
+    """Each log with what is left after it: an edit forgets what could be redone; only the last ones can be undone."""
+    logs = {"oe": ("2", 1, 0), "oeu": ("1", 0, 1), "oeur": ("2", 1, 0), "oeuer": ("4", 1, 0), "ouru": ("1", 0, 0), "oeeee": ("5", 2, 0), "oeeeeuuuu": ("3", 0, 2), "oeo": ("3", 0, 0), "e": ("1", 0, 0), "u": (None, 0, 0)}
+    names = {"o": "open", "e": "edit", "u": "undo", "r": "redo"}
+    rows = [(i, n, names[c], str(n)) for i, log in enumerate(logs) for n, c in enumerate(log, 1)]
+    found = edits.undone(spark.createDataFrame(rows, "doc_id int, n int, action string, version string").repartition(3), most=2)
+    assert {r["doc_id"]: (r["version"], r["can_undo"], r["can_redo"]) for r in found.collect()} == dict(enumerate(logs.values()))
+
+
+def test_shrink_plan(spark):
+    """(pixels, shown width, bytes) and what becomes of them at 150 dpi: the first reason counts; grey ones are made whatever their size."""
+    cases = [((1000, 1000, 100.0, 50_000), None), ((200, 200, 100.0, 20_000), "fine"), ((200, 200, 100.0, 30_000), None), ((99, 100, 10.0, 99), "small"), ((3000, 1000, 0.0, 20_000), None), ((1000, 1755, 1.0, 20_000), "fine"), ((1000, 1000, 100.0, 0), "empty")]
+    df = spark.createDataFrame([(i, *c, False, False, False, 8) for i, (c, _) in enumerate(cases)] + [(90, 500, 500, 9.0, 99_999, False, True, True, 1), (91, 500, 500, 9.0, 99_999, False, False, True, 1), (92, 500, 500, 9.0, 99_999, True, True, True, 1), (93, 500, 500, 9.0, 99_999, False, False, False, 1)], "id int, px_w int, px_h int, shown_pt double, stored long, soft_mask boolean, mask boolean, stencil boolean, bits int")
+    assert {r["id"]: r["skip"] for r in edits.shrink_plan(df, 150, 24 * 1024).collect()} == {i: why for i, (_, why) in enumerate(cases)} | {90: "mask", 91: "stencil", 92: "smask", 93: "bitonal"}
+    assert {r["skip"] for r in edits.shrink_plan(df, 150, 24 * 1024, grayscale=True).where("id = 1").collect()} == {None}
