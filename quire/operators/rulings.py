@@ -101,7 +101,8 @@ def tables(drawings: DataFrame, strict: bool = True) -> DataFrame:
     placed = found.join(of.withColumnRenamed("node", "_id"), "_id")
     size = placed.groupBy(*PAGE, "component").agg(F.min(F.struct("y0", "x0")).alias("_at"), F.count_distinct("x0").alias("_columns")).where("_columns > 1")
     size = size.withColumn("table_no", (F.row_number().over(Window.partitionBy(*PAGE).orderBy("_at", "component")) - 1).cast("int"))
-    return placed.join(size.select(*PAGE, "component", "table_no"), [*PAGE, "component"]).select(*PAGE, "table_no", "x0", "y0", "x1", "y1")
+    # what follows reads tables more than once
+    return cut(placed.join(size.select(*PAGE, "component", "table_no"), [*PAGE, "component"]).select(*PAGE, "table_no", "x0", "y0", "x1", "y1"))
 
 
 def _boxes(found: DataFrame, by: list[str]) -> DataFrame:
