@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import PAGE_PARTS, color_hex, font_family, font_style, is_thai, page_label, page_token, repair_text, undecodable_ratio
-from quire.operators.grid import centred, listed, placed, same_cell
+from quire.operators.grid import centred, listed, placed, same_cell, shuffled
 from quire.operators.iterate import cut
 from quire.operators.layout import regions as graphic_regions
 from quire.operators.relate import PAGE
@@ -223,7 +223,7 @@ def diagram_pages(lines: DataFrame, regions: DataFrame) -> DataFrame:
     x, y = (F.col("l.x0") + F.col("l.x1")) / 2, (F.col("l.y0") + F.col("l.y1")) / 2
     marked = lines.select(*PAGE, "x0", "y0", "x1", "y1", F.monotonically_increasing_id().alias("_line"), F.length(_visible(line_text())).alias("_n"))
     within = x.between(F.col("r.x0"), F.col("r.x1")) & y.between(F.col("r.y0"), F.col("r.y1"))
-    met = centred(marked).alias("l").join(listed(regions).alias("r"), same_cell("l", "r") & within, "left_semi").groupBy(*PAGE).agg(F.sum("_n").alias("_inside"))
+    met = centred(marked).alias("l").join(shuffled(listed(regions).alias("r")), same_cell("l", "r") & within, "left_semi").groupBy(*PAGE).agg(F.sum("_n").alias("_inside"))
     total = marked.groupBy(*PAGE).agg(F.sum("_n").alias("_all"), F.count("*").alias("_lines"))
     inside = F.coalesce("_inside", F.lit(0))
     return total.join(met, PAGE, "left").select(*PAGE, ((F.col("_lines") >= 8) & (F.col("_all") > 0) & (inside >= 0.7 * F.col("_all"))).alias("is_diagram"))
@@ -340,7 +340,7 @@ def route_lines(lines: DataFrame, furniture: DataFrame, regions: DataFrame, cell
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32())], names=["_id", "region"])
 
     in_region = walked.select("_regions", "_lines").mapInArrow(walk, schema)
-    a, c = placed(at, "_x", "_y").alias("a"), listed(cells, 1.0).alias("c")
+    a, c = placed(at, "_x", "_y").alias("a"), shuffled(listed(cells, 1.0).alias("c"))
     inside = F.col("a._x").between(F.col("c.x0") - 1, F.col("c.x1") + 1) & F.col("a._y").between(F.col("c.y0") - 1, F.col("c.y1") + 1)
     in_cell = a.join(c, same_cell("a", "c") & inside, "left_semi").select("_id", F.lit(True).alias("_cell"))
     found = l_.drop("region").join(in_region, "_id", "left").join(in_cell, "_id", "left")
@@ -357,13 +357,15 @@ def grown_regions(routed: DataFrame, regions: DataFrame) -> DataFrame:
 def find_widget(wanted: DataFrame, widgets: DataFrame) -> DataFrame:
     """wanted (doc_id, page_no, name, box) with widget: the ord of the first widget of that name whose box meets it; null if there is none."""
     numbered = wanted.withColumn("_id", F.monotonically_increasing_id())
-    a, b = listed(numbered).alias("a"), listed(widgets).alias("b")
+    # of widgets of one name and outline the first counts
+    offered = widgets.groupBy(*PAGE, F.coalesce("name", F.lit("")).alias("name"), "x0", "y0", "x1", "y1").agg(F.min("ord").alias("ord"))
+    a, b = listed(numbered).alias("a"), shuffled(listed(offered).alias("b"))
     meets = F.lit(True)
     for low, high in (("x0", "x1"), ("y0", "y1")):
         meets = meets & (F.col(f"a.{low}") < F.col(f"b.{high}")) & (F.col(f"b.{low}") < F.col(f"a.{high}"))
-    same = same_cell("a", "b") & (F.coalesce("a.name", F.lit("")) == F.coalesce("b.name", F.lit("")))
+    same = same_cell("a", "b") & (F.coalesce("a.name", F.lit("")) == F.col("b.name"))
     found = a.join(b, same & meets).groupBy("a._id").agg(F.min("b.ord").alias("widget"))
-    return numbered.join(found, "_id", "left").select(*wanted.columns, "widget")
+    return numbered.join(shuffled(found), "_id", "left").select(*wanted.columns, "widget")
 
 
 def fingerprints(spans_: DataFrame) -> DataFrame:

@@ -33,3 +33,32 @@ def agrees(spark, folder, name):
 
 def test_sizes_of_large_orders(spark, folder):
     agrees(spark, folder, "p8_formats")
+
+
+CROWDED = ["j3_smallest_at_point", "j4_topmost_at_point", "j5_first_at_point", "j10_covering", "j8_outside", "j6_in_cells", "j16_shading", "u10_outermost", "j9_overlapping_tables", "j14_widgets"]
+
+
+@pytest.mark.parametrize("name", CROWDED)
+def test_joins_on_crowded_pages(spark, folder, name):
+    """All boxes lie on three pages of each document, however many there are."""
+    assert "p_partkey % 3 AS INTEGER" in ORACLES[name]
+    assert tables.crowded(spark, str(folder)).select("doc_id", "page_no").distinct().count() == 21
+    agrees(spark, folder, name)
+
+
+@pytest.mark.parametrize("name", CROWDED)
+def test_exploded_boxes_are_never_broadcast(spark, folder, name):
+    assert "Broadcast" not in QUERIES[name](spark, str(folder))._jdf.queryExecution().toString()
+
+
+def test_copies_of_boxes_and_points(spark):
+    """Of boxes of one outline the first or last is picked; points of one place, and those without one, each get their row."""
+    box = [(1, 0, ord_, 0.0, 0.0, 10.0, 10.0) for ord_ in (5, 3, 9)] + [(1, 0, 4, 0.0, 0.0, 80.0, 80.0)]
+    boxes = spark.createDataFrame(box, "doc_id long, page_no int, ord long, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(1, 0, 1, 5.0, 5.0), (1, 0, 2, 5.0, 5.0), (1, 0, 3, 70.0, 70.0), (1, 0, 4, 99.0, 5.0), (1, 0, 5, None, 5.0)], "doc_id long, page_no int, point long, x double, y double")
+    at = lambda pick, **how: sorted((r["point"], r["box"]) for r in relate.at_point(points, boxes, pick, **how).collect())
+    assert at("smallest") == [(1, 3), (2, 3), (3, 4)]
+    assert at("first") == [(1, 3), (2, 3), (3, 4)]
+    assert at("topmost", keep_unmatched=True) == [(1, 9), (2, 9), (3, 4), (4, None), (5, None)]
+    named = boxes.withColumn("name", F.lit(None).cast("string"))
+    assert {r["widget"] for r in model.find_widget(named.where("ord = 4"), named.where("ord <> 4").withColumn("name", F.lit(""))).collect()} == {3}
