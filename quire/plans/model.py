@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import export, model
 from quire.plans.registry import query
-from quire.sources.tables import BOXES_SQL, boxes, table, turns
+from quire.sources.tables import BOXES_SQL, CROWDED_SQL, boxes, crowded, table, turns
 
 _BOXES = f"WITH b AS ({BOXES_SQL})"
 def _corners() -> list[Column]:
@@ -169,10 +169,10 @@ def a16_checks(spark: SparkSession, folder: str) -> DataFrame:
     return model.checks_summary(results).withColumn("issues", F.array_join(F.transform("issues", lambda i: i["name"]), ","))
 
 
-@query(_BOXES + """, f AS (SELECT a.ord, min(b.ord) AS widget FROM b a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.ord % 5 = b.ord % 5 AND b.ord % 2 = 1 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 WHERE a.ord % 2 = 0 GROUP BY a.ord)
+@query(f"WITH b AS ({CROWDED_SQL})" + """, f AS (SELECT a.ord, min(b.ord) AS widget FROM b a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.ord % 5 = b.ord % 5 AND b.ord % 2 = 1 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 WHERE a.ord % 2 = 0 GROUP BY a.ord)
 SELECT a.ord, f.widget FROM b a LEFT JOIN f USING (ord) WHERE a.ord % 2 = 0""")
 def j14_widgets(spark: SparkSession, folder: str) -> DataFrame:
-    named = boxes(spark, folder).withColumn("name", (F.col("ord") % 5).cast("string"))
+    named = crowded(spark, folder).withColumn("name", (F.col("ord") % 5).cast("string"))
     return model.find_widget(named.where("ord % 2 = 0"), named.where("ord % 2 = 1")).select("ord", "widget")
 
 
