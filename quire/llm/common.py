@@ -48,10 +48,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, with_path: bool = False) -> DataFrame | tuple[DataFrame, str]:
-    """As cut(), as a Parquet table: columns that are not asked for are not read again. With its path, if asked for."""
+def written(df: DataFrame, what: str, with_path: bool = False, options: dict[str, int] | None = None) -> DataFrame | tuple[DataFrame, str]:
+    """As cut(), as a Parquet table, of the writer's options: columns that are not asked for are not read again. With its path, if asked for."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     return (back, path) if with_path else back
 

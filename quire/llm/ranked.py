@@ -44,6 +44,11 @@ GROUP_TERMS, GROUP_ITEMS = 100_000, 256
 #: Terms are what lies between these bytes, after A to Z have become a to z; bytes of other characters stay.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
+#: A row is a block of several MB. By default Parquet's writer looks at the size of what it holds after 100 rows only; ours looks
+#: at every one, and closes a row group at so many bytes, which is also what a reader holds of a file.
+ROW_GROUP = 16 << 20
+BY_BLOCK = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
 BLOCK = "block string, doc_ids array<long>, sizes binary, terms array<binary>, starts binary, at binary, counts binary"
 
 
@@ -122,7 +127,7 @@ def build(docs: DataFrame) -> Index:
     """The index of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    level2, path = written(counted(docs), "ranked-counts", with_path=True)
+    level2, path = written(counted(docs), "ranked-counts", with_path=True, options=BY_BLOCK)
 
     def sums(batches):
         n = total = 0
@@ -144,7 +149,7 @@ def build(docs: DataFrame) -> Index:
                 out.append((-(-exact // STEP)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "bytes"])
 
-    both = written(level2.mapInArrow(quantise, f"{BLOCK}, bytes binary"), "ranked-index")
+    both = written(level2.mapInArrow(quantise, f"{BLOCK}, bytes binary"), "ranked-index", options=BY_BLOCK)
     deleted(spark, path)
     return Index(both, n, total)
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -229,3 +230,21 @@ def test_odd_tables(name, texts):
     wide = base.selectExpr("*", *[f"'x' AS `{c}`" for c in EXTRA])
     assert sorted(map(str, run(wide).select(own).collect())) == plain
     assert name == "ranked" or len(plain) == base.count()
+
+
+def test_blocks_are_written_in_bounded_row_groups(spark, monkeypatch):
+    """Rows of several MB, fewer than Parquet's writer counts before it looks at their size, and both tables of an index."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from quire.llm import common
+
+    wide = spark.range(24).coalesce(1).select(F.repeat(F.expr("uuid()"), 100_000).alias("x"))  # 3.6 MB each
+    _, path = common.written(wide, "row-groups", with_path=True, options=ranked.BY_BLOCK)
+    file = next(Path(path.removeprefix("file://")).glob("*.parquet"))
+    found = pq.ParquetFile(file).metadata
+    assert max(found.row_group(i).num_rows for i in range(found.num_row_groups)) <= 6
+    given = []
+    monkeypatch.setattr(ranked, "written", lambda df, what, **how: given.append((what, how.get("options"))) or common.written(df, what, **how))
+    ranked.build(spark.createDataFrame([(1, "one two")], "doc_id long, text string"))
+    assert given == [("ranked-counts", ranked.BY_BLOCK), ("ranked-index", ranked.BY_BLOCK)]
