@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import font_key
+from quire.operators.grid import shuffled
 from quire.operators.iterate import cut
 
 #: Words of styles, which no family holds, and the weights they stand for; the first that occurs counts.
@@ -88,14 +89,14 @@ def fitted(samples: DataFrame, fonts: DataFrame, advances: DataFrame, skip: tupl
     kinds = able.select("bold", "italic", tries.alias("_tries")).distinct()
     picked = kinds.join(F.broadcast(styles.select("key", "files")), F.lit(True)).select("bold", "italic", "key", F.filter(F.transform("_tries", lambda t: F.col("files")[t]), lambda f: f.isNotNull())[0].alias("file"))
     picked = picked.where("file IS NOT NULL")
-    own = letters.join(able.select("_s", "bold", "italic"), "_s").join(F.broadcast(picked), ["bold", "italic"])
+    own = letters.join(shuffled(able.select("_s", "bold", "italic")), "_s").join(F.broadcast(picked), ["bold", "italic"])
     known = advances.dropDuplicates(["file", "cp"])
     lacking = known.where("cp = 0").select("file", F.col("advance").alias("_none"))
     set_ = own.join(known.where("cp <> 0"), ["file", "cp"], "left").join(F.broadcast(lacking), "file", "left")
     wide = set_.groupBy("_s", "key").agg(F.sum(F.coalesce("advance", "_none", F.lit(0)) * F.col("_times")).alias("_units")).where("_units > 0")
     of = Window.partitionBy("doc_id", "family", "key")
     ratio = F.col("width") / (F.col("_units") * F.col("size") / 1000)
-    ranked = wide.join(able.select("_s", "doc_id", "family", "_own", "size", "width"), "_s").withColumn("ratio", ratio)
+    ranked = wide.join(shuffled(able.select("_s", "doc_id", "family", "_own", "size", "width")), "_s").withColumn("ratio", ratio)
     ranked = ranked.withColumn("_r", F.row_number().over(of.orderBy("ratio"))).withColumn("_n", F.count("*").over(of))
     ratios = ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select("doc_id", "family", "key", "ratio")
     best = ratios.where(F.abs(F.col("ratio") - 1) <= CLOSE).join(F.broadcast(styles.select("key", "name")), "key")
@@ -172,9 +173,9 @@ def decoded(codes: DataFrame, maps: DataFrame) -> DataFrame:
     level = _level(F.col("low"), F.col("high"))
     listed = maps.withColumn("_level", level).withColumn("_bucket", F.explode(F.expr("sequence(shiftright(low, _level), shiftright(high, _level))")))
     asked = codes.select("font", "cid").distinct().withColumn("_level", F.explode(F.array(*map(F.lit, LEVELS)))).withColumn("_bucket", F.expr("shiftright(cid, _level)"))
-    met = asked.join(listed, ["font", "_level", "_bucket"]).where(F.col("cid").between(F.col("low"), F.col("high")))
+    met = asked.join(shuffled(listed), ["font", "_level", "_bucket"]).where(F.col("cid").between(F.col("low"), F.col("high")))
     said = met.groupBy("font", "cid").agg(F.max_by(F.col("cp") + F.col("cid") - F.col("low"), "rank").alias("cp"))
-    return codes.join(said, ["font", "cid"], "left")
+    return codes.join(shuffled(said), ["font", "cid"], "left")
 
 
 def glyph_characters(characters: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.grid import shuffled
 from quire.operators.iterate import components, cut, reachable
 from quire.operators.model import core_box, risk_box
 
@@ -64,7 +65,7 @@ def crossings(rules: DataFrame) -> DataFrame:
     low, high = F.col("low") - MISS, F.col("high") + MISS
     h = rules.where("across").select(*PAGE, F.col("pos").alias("y"), low.alias("_x0"), high.alias("_x1"), F.col("edge").alias("h"), F.explode(_along(low, high)).alias("_cx"), F.floor(F.col("pos") / GRID).alias("_cy"))
     v = rules.where("NOT across").select(*PAGE, F.col("pos").alias("x"), low.alias("_y0"), high.alias("_y1"), F.col("edge").alias("v"), F.explode(_along(low, high)).alias("_cy"), F.floor(F.col("pos") / GRID).alias("_cx"))
-    met = h.join(v, [*PAGE, "_cx", "_cy"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1")))
+    met = h.join(shuffled(v), [*PAGE, "_cx", "_cy"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1")))
     return met.select(*PAGE, "x", "y", "h", "v")
 
 
@@ -164,7 +165,7 @@ def harmed(spans: DataFrame) -> DataFrame:
     for low, high in (("x0", "x1"), ("y0", "y1")):
         meet = meet & (corner(low) < F.least(F.col(f"_core.{high}"), F.col(f"_risk.{high}")))
     home = (F.floor(corner("x0") / GRID) == F.col("_cx")) & (F.floor(corner("y0") / GRID) == F.col("_cy"))
-    return a.join(b, [*PAGE, "_cx", "_cy"]).where((F.col("ord") != F.col("_to_ord")) & meet & home).select(*PAGE, "ord", "_to_ord")
+    return a.join(shuffled(b), [*PAGE, "_cx", "_cy"]).where((F.col("ord") != F.col("_to_ord")) & meet & home).select(*PAGE, "ord", "_to_ord")
 
 
 def victims(spans: DataFrame, targets: DataFrame) -> DataFrame:

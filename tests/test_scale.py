@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import model, relate
+from quire.functions import text as T
+from quire.operators import model, relate, rulings
 from quire.plans.registry import ORACLES, QUERIES
 from quire.sources import tables
 
@@ -62,3 +63,22 @@ def test_copies_of_boxes_and_points(spark):
     assert at("topmost", keep_unmatched=True) == [(1, 9), (2, 9), (3, 4), (4, None), (5, None)]
     named = boxes.withColumn("name", F.lit(None).cast("string"))
     assert {r["widget"] for r in model.find_widget(named.where("ord = 4"), named.where("ord <> 4").withColumn("name", F.lit(""))).collect()} == {3}
+
+
+@pytest.mark.parametrize("name", ["e5_comparison_marks", "c17_character_maps"])
+def test_exploded_words_and_codes_are_never_broadcast(spark, folder, name):
+    assert "Broadcast" not in QUERIES[name](spark, str(folder))._jdf.queryExecution().toString()
+    agrees(spark, folder, name)
+
+
+def test_harm_and_regions(spark, folder):
+    """Neither broadcasts spans under their cells nor calls Python once for each page."""
+    assert "Broadcast" not in rulings.harmed(tables.sheets(spark, str(folder)))._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in QUERIES["f4_diagrams"](spark, str(folder))._jdf.queryExecution().toString()
+    agrees(spark, folder, "f4_diagrams")
+
+
+def test_plain_texts_pass_repair_by_one_look(spark):
+    given = ["plain", "a\tb", "a b", "a­b", "é", "é\u007f\n", "x\u0001", "ก า", None, "ÿ˿"]
+    shown = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", T.repair_text("t").alias("t"))
+    assert [r["t"] for r in shown.orderBy("i").collect()] == ["plain", "a b", "a b", "ab", "é", "é\u007f\n", "x", "กา", "", "ÿ˿"]
