@@ -72,7 +72,7 @@ def small_batches(spark: SparkSession) -> None:
 
     These are settings of the session, as Spark reads them when a plan runs; they are only ever made smaller.
     """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = spark.conf.get(key, None) or ""
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))

@@ -9,6 +9,9 @@ which costs a comparison for each edge of a star. A band whose nodes are then st
 full: every node outside its largest part with every node of it, in tiles of about ROOM by ROOM nodes, so no task holds a
 large band whole. Links that pass make the components.
 
+simhash_dedup() takes its candidates by op5's method as well: texts that SimHash fingerprints link, by their multi-index, at
+three differing bits or fewer, are candidates of one more band. Fingerprints are made where signatures are.
+
 Cases: null and empty texts and texts of white space have equal (empty) sets; a text of fewer words than a shingle is
 one shingle; a shingle counts once; of a component the first row by doc_id stays, rows without one rank last.
 """
@@ -22,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import clashing, small_batches, written
-from quire.llm.simhash import components
+from quire.llm.simhash import components, fingerprint, near_pairs
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 ROOM = 128
+#: Texts that a worker holds with their sets at a time.
+FEW = 128
 _DRAW = np.random.default_rng(42)
 _A, _B = (_DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _A |= np.uint64(1)
@@ -55,15 +60,19 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def _signed(batches):
     for b in batches:
-        sets = [shingles(t or "") for t in b.column("text").to_pylist()]
-        own = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("doc_id"), own, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["_row", "doc_id", "set_id", "bands"])
+        for part in (b.slice(at, FEW) for at in range(0, b.num_rows, FEW)):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            sets = [shingles(t) for t in texts]
+            own = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
+            fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), own, pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(fps)], ["_row", "doc_id", "set_id", "bands", "fp"])
 
 
 def _sets(batches):
     for b in batches:
-        sets = [shingles(t or "").tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+        for part in (b.slice(at, FEW) for at in range(0, b.num_rows, FEW)):
+            sets = [shingles(t or "").tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -120,9 +129,10 @@ def _tiles(similarity: float):
     return run
 
 
-def links(numbered: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, room: int = ROOM) -> DataFrame:
-    """Edges (a, b) whose components are those of all candidates of at least the similarity."""
+def links(numbered: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, room: int = ROOM, more: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all candidates of at least the similarity; more: further bands (node, key)."""
     entries = nodes.select("node", F.explode("bands").alias("key"))
+    entries = entries if more is None else entries.unionByName(more)
     first = entries.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = written(entries.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "similar-star")
     met = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
@@ -149,15 +159,29 @@ def links(numbered: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY,
     return linked.unionByName(across)
 
 
-def similar_dedup(df: DataFrame, similarity: float = SIMILARITY, room: int = ROOM) -> DataFrame:
+def fingerprint_bands(held: DataFrame) -> DataFrame:
+    """node, key of the nodes of held (node, fp): a key for each component of fingerprints that op5's method links."""
+    roots = components(near_pairs(held.select("fp").distinct())).withColumnRenamed("node", "fp")
+    return written(held.join(roots, "fp", "left").select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key")).distinct(), "similar-fingerprints")
+
+
+def simhash_dedup(df: DataFrame, similarity: float = SIMILARITY, room: int = ROOM) -> DataFrame:
+    """As similar_dedup(), with the candidates that fingerprints propose too."""
+    return similar_dedup(df, similarity, room, by_fingerprint=True)
+
+
+def similar_dedup(df: DataFrame, similarity: float = SIMILARITY, room: int = ROOM, by_fingerprint: bool = False) -> DataFrame:
     """One row of each component of df's near-duplicates, the first by doc_id, with df's columns."""
     small_batches(df.sparkSession)
     numbered = written(clashing(df, ["_row"]).withColumn("_row", F.monotonically_increasing_id()), "similar-rows")
-    rows = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "_row long, doc_id long, set_id binary, bands array<long>")
+    rows = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "_row long, doc_id long, set_id binary, bands array<long>, fp long")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    nodes = rows.groupBy("set_id").agg(F.min(rank).alias("rank"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select(F.col("rank._row").alias("node"), "rank", "bands"), "similar-nodes")
-    group = components(links(numbered, nodes, similarity, room))
+    first = [F.min("rank").alias("rank"), F.first("bands").alias("bands")]
+    entries = written(rows.withColumn("rank", rank).groupBy("set_id", "fp").agg(*first), "similar-entries")
+    nodes = entries.groupBy("set_id").agg(*first)
+    nodes = written(nodes.select(F.col("rank._row").alias("node"), "set_id", "rank", "bands"), "similar-nodes")
+    held = fingerprint_bands(entries.select("set_id", "fp").join(nodes.select("set_id", "node"), "set_id").select("node", "fp")) if by_fingerprint else None
+    group = components(links(numbered, nodes, similarity, room, held))
     group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
     stays = nodes.select("node", "rank").join(group, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("rank").alias("rank"))
     return numbered.join(stays.select(F.col("rank._row").alias("_row")), "_row", "left_semi").select(*df.columns)

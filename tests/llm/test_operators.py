@@ -816,3 +816,19 @@ def test_odd_tables(name, mess):
     assert n == len(MESS) if name in WHOLE else n > 0
     wide = mess.selectExpr("*", *[f"'x' AS `{c}`" for c in EXTRA])
     assert run(wide).count() == n
+
+
+def test_fingerprints_propose_near_duplicates(spark, monkeypatch):
+    """What op5's method links meets without any band in common, and the sets decide."""
+    base = [f"w{i}" for i in range(400)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:-1], "x"]), 3: " ".join(base[::-1])}
+    assert (simhash.fingerprint(texts[1]) ^ simhash.fingerprint(texts[2])).bit_count() <= simhash.DISTANCE
+    numbered = spark.createDataFrame(list(texts.items()), "_row long, text string")
+    nodes = numbered.select(F.col("_row").alias("node"), F.array().cast("array<long>").alias("bands"))
+    fps = [(i, int(np.uint64(simhash.fingerprint(t)).view(np.int64))) for i, t in texts.items()]
+    more = similar.fingerprint_bands(spark.createDataFrame(fps, "node long, fp long"))
+    assert [sorted(r) for r in similar.links(numbered, nodes, more=more).distinct().collect()] == [[1, 2]]
+    asked = []
+    monkeypatch.setattr(similar, "fingerprint_bands", lambda held: asked.append(held) or more.limit(0))
+    dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame([(1, "a b", "en", "s", 1)], SCHEMA), "")
+    assert len(asked) == 1
