@@ -18,7 +18,6 @@ names clash with added ones are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from quire.llm.common import clashing, small_batches
+from quire.llm.common import clashing, once, small_batches
 
 #: Pieces and words whose ids a worker keeps (two generations each).
 KEPT_PIECES = 250_000
@@ -218,9 +217,8 @@ class WordBpe:
         return self.buffer[at][:-1].tobytes()
 
 
-@functools.lru_cache(2)
 def loaded(path: str) -> WordBpe:
-    return WordBpe(path)
+    return once(f"word-bpe {path}", lambda: WordBpe(path))
 
 
 def _with(df: DataFrame, columns: dict, make) -> DataFrame:

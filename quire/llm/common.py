@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,14 @@ _MADE: dict[str, object] = {}
 def once(key: str, make):
     """make()'s result, the same for all tasks of a worker that ask by this key; of a worker's results one is kept."""
     if key not in _MADE:
-        _MADE.clear()
+        let_go()
         _MADE[key] = make()
     return _MADE[key]
+
+
+def let_go() -> None:
+    """Frees what once() and Arrow keep in this worker: workers go on from one step to the next, and steps without a table of their own call it."""
+    if _MADE:
+        _MADE.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

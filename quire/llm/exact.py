@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ASCII_SPACE, clashing, small_batches, text_of, written
+from quire.llm.common import ASCII_SPACE, clashing, let_go, small_batches, text_of, written
 
 FLUSH_ROWS = 65_536
 FAN_IN = 4
@@ -110,6 +110,7 @@ _RUN = "key binary, cp long, null long, doc long, row long, n long"
 
 def _indexed(flush_rows: int):
     def build(batches):
+        let_go()
         index, width = LsmIndex(flush_rows), 32
         for b in batches:
             if b.num_rows:

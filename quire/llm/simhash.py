@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import clashing, cut, small_batches, written
+from quire.llm.common import clashing, cut, let_go, small_batches, written
 
 SEED = 42
 DISTANCE = 3
@@ -60,6 +60,7 @@ def fingerprints(df: DataFrame, words: int = 3) -> DataFrame:
     names = schema.names[:-1]
 
     def run(batches):
+        let_go()
         for b in batches:
             fps = np.fromiter((fingerprint(t or "", words) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(fps.view(np.int64))], names=schema.names)
@@ -85,6 +86,7 @@ def _links(fps: np.ndarray) -> list[tuple[int, int]]:
 
 def _meet(batches):
     """Edges among the rows (key, fp, own) of each key; rows come in ascending order of the key."""
+    let_go()
     rest = None
     for b in batches:
         key, fp, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "own"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import clashing, small_batches, written
+from quire.llm.common import clashing, let_go, small_batches, written
 from quire.llm.simhash import components, fingerprint, near_pairs
 
 WORDS = 5
@@ -59,6 +59,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _signed(batches):
+    let_go()
     for b in batches:
         for part in (b.slice(at, FEW) for at in range(0, b.num_rows, FEW)):
             texts = [t or "" for t in part.column("text").to_pylist()]
@@ -69,6 +70,7 @@ def _signed(batches):
 
 
 def _sets(batches):
+    let_go()
     for b in batches:
         for part in (b.slice(at, FEW) for at in range(0, b.num_rows, FEW)):
             sets = [shingles(t or "").tobytes() for t in part.column("text").to_pylist()]
@@ -82,6 +84,7 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def _verified(similarity: float):
     def run(batches):
+        let_go()
         for b in batches:
             pairs = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
             yield b.filter(pa.array([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs], pa.bool_())).select(["a", "b"])
@@ -110,6 +113,7 @@ def _tiles(similarity: float):
         return sorted(out)
 
     def run(batches):
+        let_go()
         now, rows = None, []
 
         def links():

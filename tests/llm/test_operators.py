@@ -832,3 +832,25 @@ def test_fingerprints_propose_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(similar, "fingerprint_bands", lambda held: asked.append(held) or more.limit(0))
     dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame([(1, "a b", "en", "s", 1)], SCHEMA), "")
     assert len(asked) == 1
+
+
+def test_workers_keep_nothing_of_earlier_steps():
+    """A worker goes on from step to step: a tokenizer goes when a model comes, and either when near-duplicates or exact ones are sought."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+
+    from quire.llm import common
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    held = weakref.ref(bpe.loaded(path))
+    assert bpe.loaded(path) is held()
+    common.once("a model", dict)
+    assert held() is None
+    texts = pa.RecordBatch.from_pydict({"_row": [1], "doc_id": [1], "text": ["a b c"]})
+    for step in (similar._signed, similar._verified(0.8), similar._tiles(0.8), similar._sets, simhash._meet, exact._indexed(9)):
+        common.once("a model", dict)
+        list(step([texts] if step is similar._signed else []))
+        gc.collect()
+        assert not common._MADE
