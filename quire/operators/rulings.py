@@ -5,6 +5,9 @@ edge is found through the grid cell in which it lies: a horizontal edge is liste
 one likewise, and as a crossing has one place, it lies in one cell only. A cell of a table is the smallest rectangle to
 the right and below a crossing whose four corners are crossings of the same two horizontal and two vertical edges; cells
 that share a corner are one table. Everything is by page, and no step compares all lines or boxes of a page with each other.
+
+Edges are exchanged once, by page; what follows up to the tables sorts and groups within the pages of a partition. Only what
+that leaves open, on few pages, is joined and goes into rounds.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ def ruled(found: DataFrame) -> DataFrame:
     line = [*PAGE, "across"]
     by_pos = Window.partitionBy(line).orderBy("pos")
     run = F.sum(F.when(F.col("pos") - F.lag("pos").over(by_pos) > SNAP, 1).otherwise(0)).over(by_pos.rangeBetween(Window.unboundedPreceding, 0))
-    snapped = found.withColumn("_run", F.coalesce(run, F.lit(0)))
+    snapped = found.repartition(*PAGE).withColumn("_run", F.coalesce(run, F.lit(0)))
     snapped = snapped.withColumn("pos", F.avg("pos").over(Window.partitionBy(*line, "_run")))
     own = Window.partitionBy(*line, "_run").orderBy("low", "high")
     reach = F.max("high").over(own.rowsBetween(Window.unboundedPreceding, -1))
@@ -61,12 +64,17 @@ def _along(low: Column, high: Column) -> Column:
 
 
 def crossings(rules: DataFrame) -> DataFrame:
-    """doc_id, page_no, x, y, h, v: where edges of ruled() cross or miss each other by MISS at most, with the edges' ids."""
-    low, high = F.col("low") - MISS, F.col("high") + MISS
-    h = rules.where("across").select(*PAGE, F.col("pos").alias("y"), low.alias("_x0"), high.alias("_x1"), F.col("edge").alias("h"), F.explode(_along(low, high)).alias("_cx"), F.floor(F.col("pos") / GRID).alias("_cy"))
-    v = rules.where("NOT across").select(*PAGE, F.col("pos").alias("x"), low.alias("_y0"), high.alias("_y1"), F.col("edge").alias("v"), F.explode(_along(low, high)).alias("_cy"), F.floor(F.col("pos") / GRID).alias("_cx"))
-    met = h.join(shuffled(v), [*PAGE, "_cx", "_cy"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1")))
-    return met.select(*PAGE, "x", "y", "h", "v")
+    """doc_id, page_no, x, y, h, v: where edges of ruled() cross or miss each other by MISS at most, with the edges' ids.
+
+    The edges of a grid cell are held in two lists: they are few, as their positions and the gaps along one are over SNAP and JOIN apart.
+    """
+    low, high, across = F.col("low") - MISS, F.col("high") + MISS, F.col("across")
+    listed = rules.where(F.col("doc_id").isNotNull() & F.col("page_no").isNotNull()).select(*PAGE, "across", F.struct("pos", low.alias("low"), high.alias("high"), "edge").alias("e"), F.floor(F.col("pos") / GRID).alias("_of"), F.explode(_along(low, high)).alias("_at"))
+    listed = listed.select(*PAGE, "across", "e", F.when(across, F.col("_at")).otherwise(F.col("_of")).alias("_cx"), F.when(across, F.col("_of")).otherwise(F.col("_at")).alias("_cy"))
+    held = listed.groupBy(*PAGE, "_cx", "_cy").agg(F.collect_list(F.when(across, F.col("e"))).alias("hs"), F.collect_list(F.when(~across, F.col("e"))).alias("vs"))
+    met = held.select(*PAGE, F.explode("hs").alias("h"), "vs").select(*PAGE, "h", F.explode("vs").alias("v"))
+    met = met.where(F.col("v.pos").between(F.col("h.low"), F.col("h.high")) & F.col("h.pos").between(F.col("v.low"), F.col("v.high")))
+    return met.select(*PAGE, F.col("v.pos").alias("x"), F.col("h.pos").alias("y"), F.col("h.edge").alias("h"), F.col("v.edge").alias("v"))
 
 
 def cells(found: DataFrame) -> DataFrame:
@@ -80,30 +88,58 @@ def cells(found: DataFrame) -> DataFrame:
     next_right = F.first(F.when(F.col("_down"), F.struct("x", "v")), ignorenulls=True).over(by_h.rowsBetween(1, Window.unboundedFollowing))
     next_down = F.first(F.when(F.col("_right"), F.struct("y", "h")), ignorenulls=True).over(by_v.rowsBetween(1, Window.unboundedFollowing))
     ends = ends.withColumn("_r", next_right).withColumn("_d", next_down)
-    ends = cut(ends)
-    top = ends.where("_right AND _down")
-    corner = ends.select(*PAGE, F.col("h").alias("_h"), F.col("v").alias("_v"), F.lit(True).alias("_closed"))
-    quick = top.withColumns({"_h": F.col("_d.h"), "_v": F.col("_r.v")}).join(corner, [*PAGE, "_h", "_v"], "left")
-    done = quick.where("_closed").select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("_r.x").alias("x1"), F.col("_d.y").alias("y1"))
-    left = quick.where("_closed IS NULL").select(*PAGE, "x", "y", "h", "v")
+    # each crossing tells that it is there, and one with a next corner both ways asks for the crossing that closes them
+    ask = F.struct("x", "y", "h", "v", F.col("_r.x").alias("x1"), F.col("_d.y").alias("y1"))
+    asks = F.array(F.struct(F.col("h").alias("_h"), F.col("v").alias("_v"), F.when(F.lit(False), ask).alias("ask")), F.struct(F.col("_d.h").alias("_h"), F.col("_r.v").alias("_v"), F.when(F.col("_right") & F.col("_down") & F.col("_r").isNotNull() & F.col("_d").isNotNull(), ask).alias("ask")))
+    told = ends.select(*PAGE, F.posexplode(asks).alias("_asks", "_e")).select(*PAGE, (F.col("_asks") == 1).alias("_asks"), "_e.*").where("NOT _asks OR ask IS NOT NULL")
+    told = told.withColumn("_closed", F.max(~F.col("_asks")).over(Window.partitionBy(*PAGE, "_h", "_v")))
+    quick = cut(told.where("_asks").select(*PAGE, "_closed", "ask.*"))
+    done = quick.where("_closed").select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), "x1", "y1")
+    left = quick.where("NOT _closed").select(*PAGE, "x", "y", "h", "v")
+    if left.isEmpty():
+        return done
+    ends = cut(ends.join(shuffled(left.select(*PAGE).distinct()), PAGE, "left_semi").select(*PAGE, "x", "y", "h", "v", "_right", "_down"))
+    corner = ends.select(*PAGE, F.col("h").alias("_h"), F.col("v").alias("_v"))
     right = ends.where("_down").select(*PAGE, "h", F.col("v").alias("_v"), F.col("x").alias("x1"))
     below = ends.where("_right").select(*PAGE, "v", F.col("h").alias("_h"), F.col("y").alias("y1"))
     tried = left.join(below, [*PAGE, "v"]).where("y1 > y").join(right, [*PAGE, "h"]).where("x1 > x").join(corner, [*PAGE, "_h", "_v"], "left_semi")
     late = tried.groupBy(*PAGE, "x", "y").agg(F.min(F.struct("y1", "x1")).alias("_m")).select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("_m.x1").alias("x1"), F.col("_m.y1").alias("y1"))
-    return done.unionByName(late)
+    return done.unionByName(late).repartition(*PAGE)
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    """Cells with table, the top left corner of a cell that they are linked to: runs of cells along rows, columns and rows again share the least of theirs."""
+    out = found.withColumn("table", F.struct("y0", "x0"))
+    for line, low, high in (("y0", "x0", "x1"), ("x0", "y0", "y1"), ("y0", "x0", "x1")):
+        along = Window.partitionBy(*PAGE, line).orderBy(low, high)
+        run = F.sum(F.when(F.lag(high).over(along) == F.col(low), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("_run", run).withColumn("table", F.min("table").over(Window.partitionBy(*PAGE, line, "_run"))).drop("_run")
+    return out
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """Cells with table, the same for all that corners link, and no others: rounds take what differs at a corner after _linked()."""
+    linked = cut(_linked(found))
+    corners = linked.select(*PAGE, "table", F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1")))).alias("_c"))
+    least = corners.withColumn("_least", F.min("table").over(Window.partitionBy(*PAGE, "_c")))
+    open_ = cut(least.where("table <> _least").select(*PAGE, "table", "_least").distinct())
+    if open_.isEmpty():
+        return linked
+    nodes = open_.select(*PAGE, "table").union(open_.select(*PAGE, F.col("_least").alias("table"))).distinct()
+    nodes = cut(nodes.withColumn("_id", F.monotonically_increasing_id()))
+    pairs = open_.join(shuffled(nodes.withColumnRenamed("_id", "a")), [*PAGE, "table"]).join(shuffled(nodes.withColumnsRenamed({"table": "_least", "_id": "b"})), [*PAGE, "_least"])
+    of = nodes.join(shuffled(components(pairs.select("a", "b")).withColumnRenamed("node", "_id")), "_id")
+    of = of.withColumn("_whole", F.min("table").over(Window.partitionBy("component"))).select(*PAGE, "table", "_whole")
+    return linked.join(shuffled(of), [*PAGE, "table"], "left").withColumn("table", F.coalesce("_whole", "table")).select(linked.columns).repartition(*PAGE)
 
 
 def tables(drawings: DataFrame, strict: bool = True) -> DataFrame:
     """doc_id, page_no, table_no (from the top, then the left), x0, y0, x1, y1 of the cells of tables of two columns or more."""
-    found = cut(cells(crossings(ruled(edges(drawings, strict)))).withColumn("_id", F.monotonically_increasing_id()))
-    corners = found.select(*PAGE, "_id", F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1")))).alias("_c"))
-    first = corners.groupBy(*PAGE, "_c").agg(F.min("_id").alias("b"))
-    of = components(corners.join(first, [*PAGE, "_c"]).select(F.col("_id").alias("a"), "b").distinct())
-    placed = found.join(of.withColumnRenamed("node", "_id"), "_id")
-    size = placed.groupBy(*PAGE, "component").agg(F.min(F.struct("y0", "x0")).alias("_at"), F.count_distinct("x0").alias("_columns")).where("_columns > 1")
-    size = size.withColumn("table_no", (F.row_number().over(Window.partitionBy(*PAGE).orderBy("_at", "component")) - 1).cast("int"))
+    placed = _joined(cells(crossings(ruled(edges(drawings, strict)))))
+    own = Window.partitionBy(*PAGE, "table")
+    wide = placed.withColumn("_wide", F.min("x0").over(own) < F.max("x0").over(own)).where("_wide")
     # what follows reads tables more than once
-    return cut(placed.join(size.select(*PAGE, "component", "table_no"), [*PAGE, "component"]).select(*PAGE, "table_no", "x0", "y0", "x1", "y1"))
+    return cut(wide.withColumn("table_no", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("table")) - 1).select(*PAGE, "table_no", "x0", "y0", "x1", "y1"))
 
 
 def _boxes(found: DataFrame, by: list[str]) -> DataFrame:
@@ -118,7 +154,8 @@ def with_headers(strict: DataFrame, plain: DataFrame) -> DataFrame:
     the rows taken before: tables in their order, rows from the top.
     """
     rows = _boxes(plain, [*PAGE, "table_no", "y0"])
-    rows = rows.join(_boxes(plain, [*PAGE, "table_no"]).select(*PAGE, "table_no", F.struct("x0", "y0", "x1", "y1").alias("whole")), [*PAGE, "table_no"])
+    table = Window.partitionBy(*PAGE, "table_no")
+    rows = rows.withColumn("whole", F.struct(*(f(c).over(table).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1")))))
     offered = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("table_no", "y0", "x0", "x1", "y1", "whole"))).alias("rows"))
     own = _boxes(strict, [*PAGE, "table_no"]).join(offered, PAGE, "left")
     wide = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])

@@ -61,6 +61,37 @@ def test_strict_and_plain(spark):
     assert len(boxes(rulings.tables(spark.createDataFrame([(*s[:3], True, *s[4:]) for s in shapes], DRAWN)))) == 2
 
 
+def test_plain_tables_take_no_rounds(spark, monkeypatch):
+    """Edges of full grids are exchanged once and their cells linked within pages, without rounds; rows of no page give none."""
+    monkeypatch.setattr(rulings, "components", lambda pairs: pytest.fail("rounds of components"))
+    drawn = [line(0, 20 * i, 150, 20 * i, page) for page in range(3) for i in range(5)] + [line(50 * j, 0, 50 * j, 80, page) for page in range(3) for j in range(4)]
+    nowhere = [(None, *r[1:]) for r in drawn]
+    found = rulings.tables(spark.createDataFrame(drawn + nowhere, DRAWN))
+    assert got(found.groupBy("page_no", "table_no").count(), "page_no", "table_no", "count") == [(page, 0, 12) for page in range(3)]
+    edges = rulings.crossings(rulings.ruled(rulings.edges(spark.createDataFrame(drawn, DRAWN))))
+    plan = edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange ") == 1
+
+
+def test_cells_linked_by_corners(spark):
+    """Random cells, many of which meet at one corner only, and a staircase: as a search over all corners links them."""
+    draw = random.Random(11)
+    rows = [(1, page, 20.0 * x, 20.0 * y, 20.0 * x + 20, 20.0 * y + 20) for page in range(6) for x in range(12) for y in range(12) if draw.random() < 0.45]
+    rows += [(1, 9, 20.0 * i, 20.0 * i, 20.0 * i + 20, 20.0 * i + 20) for i in range(30)]
+    corners = lambda r: [(r[1], x, y) for x in (r[2], r[4]) for y in (r[3], r[5])]
+    of = {r: (r[3], r[2]) for r in rows}
+    while True:
+        least = {}
+        for r, label in of.items():
+            for c in corners(r):
+                least[c] = min(label, least.get(c, label))
+        if (after := {r: min(least[c] for c in corners(r)) for r in rows}) == of:
+            break
+        of = after
+    found = rulings._joined(spark.createDataFrame(rows, "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double"))
+    assert {(*r[:6],): tuple(r["table"]) for r in found.collect()} == of
+
+
 def test_header_rows(spark):
     """The topmost of two shaded rows above is taken, as the table then begins there; rows below follow one another; a plain table over less than half gives none."""
     strict = [(1, 0, 0, 0.0, 40.0, 50.0, 60.0), (1, 0, 0, 50.0, 40.0, 100.0, 60.0)]
