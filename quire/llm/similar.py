@@ -4,10 +4,13 @@ A text's set holds the hashes of its shingles of five lower-cased words; two tex
 similarity of their sets is at least 0.8. Texts of equal sets are one node. A signature of BANDS bands of ROWS minima
 is made of each set, and nodes that share a band are candidates: of pairs at 0.8 all but 1 in 20 000 share one.
 
-Only the sets of candidates cross the network. First each node is compared with the smallest node of each of its bands,
-which costs a comparison for each edge of a star. A band whose nodes are then still in several linked parts is compared in
-full: every node outside its largest part with every node of it, in tiles of about ROOM by ROOM nodes, so no task holds a
-large band whole. Links that pass make the components.
+First each node is compared with the smallest node of each of its bands, which costs a comparison for each edge of a star.
+A band of three nodes or more that are then still in several linked parts is compared in full: every node outside its largest part
+with every node of it, in tiles of about ROOM by ROOM nodes, so no task holds a large band whole. Links that pass make the components.
+
+Sets are large, so only those cross the network that sketches do not rule out. A sketch counts a set's hashes by their leading
+bits, in about a 25th of the set's bytes. Two sets share no more hashes than the smaller counts add up to, so no pair of the
+similarity is ruled out; of those that are not ruled out the sets decide.
 
 simhash_dedup() takes its candidates by op5's method as well: texts that SimHash fingerprints link, by their multi-index, at
 three differing bits or fewer, are candidates of one more band. Fingerprints are made where signatures are.
@@ -32,6 +35,8 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 ROOM = 128
+#: Nodes whose texts are looked up by a broadcast; beyond, by a shuffle of texts.
+BROADCAST_ROWS = 250_000
 #: Texts that a worker holds with their sets at a time.
 FEW = 128
 _DRAW = np.random.default_rng(42)
@@ -58,6 +63,27 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes have which leading bits, a byte each; nothing if a byte is too small."""
+    bits = max(4, (len(hashes) // 2).bit_length() - 1)
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def _coarser(sketches: np.ndarray, n: int) -> np.ndarray:
+    """Sketches (rows of the same length) with their counts added up to n each."""
+    return sketches if sketches.shape[1] == n else sketches.reshape(len(sketches), n, -1).sum(axis=2, dtype=np.uint32)
+
+
+def may_be_alike(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets may be of the similarity to one, by its sketch and theirs (rows of the same length)."""
+    n = min(len(one), others.shape[1])
+    if not n:
+        return np.ones(len(others), bool)
+    both = np.minimum(_coarser(one[None], n), _coarser(others, n)).sum(axis=1, dtype=np.int64)
+    return both >= similarity * (int(one.sum(dtype=np.int64)) + others.sum(axis=1, dtype=np.int64) - both) - 1e-9
+
+
 def _signed(batches):
     let_go()
     for b in batches:
@@ -66,7 +92,7 @@ def _signed(batches):
             sets = [shingles(t) for t in texts]
             own = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
             fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), own, pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(fps)], ["_row", "doc_id", "set_id", "bands", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column("doc_id"), own, pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(fps), pa.array(map(sketch, sets), pa.binary())], ["_row", "doc_id", "set_id", "bands", "fp", "sketch"])
 
 
 def _sets(batches):
@@ -92,6 +118,51 @@ def _verified(similarity: float):
     return run
 
 
+def _hoped(similarity: float):
+    """The pairs (a, b) that their sketches x and y do not rule out."""
+
+    def run(batches):
+        let_go()
+        for b in batches:
+            pairs = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
+            found = [bool(may_be_alike(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)[None], similarity)[0]) for x, y in pairs]
+            yield b.filter(pa.array(found, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _open(similarity: float):
+    """Of the rows (tile, key, node, part, side, sketch) of each tile those that have a row of another part and side which sketches do not rule out; rows come in order of the tile."""
+
+    def tile(keys: list[int], nodes: list[int], part: list[int], side: list[int], raw: list[bytes]):
+        parts, sides, sizes = np.array(part), np.array(side), np.array(list(map(len, raw)))
+        found = np.zeros(len(raw), bool)
+        others = [(at, np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), n)) for n in np.unique(sizes[sides == 1]).tolist() for at in [np.flatnonzero((sides == 1) & (sizes == n))]]
+        for i in np.flatnonzero(sides == 0).tolist():
+            one = np.frombuffer(raw[i], np.uint8)
+            for at, theirs in others:
+                near = at[may_be_alike(one, theirs, similarity) & (parts[at] != parts[i])]
+                found[near] = True
+                found[i] |= len(near) > 0
+        return {(keys[i], nodes[i]) for i in np.flatnonzero(found).tolist()}
+
+    def run(batches):
+        let_go()
+        now, rows = None, []
+        made = lambda pairs: pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.int64()), pa.array([n for _, n in pairs], pa.int64())], ["key", "node"])
+        for b in batches:
+            found = []
+            for tile_, *row in zip(*(b.column(c).to_pylist() for c in ("tile", "key", "node", "part", "side", "sketch")), strict=True):
+                if tile_ != now:
+                    found += tile(*zip(*rows, strict=True)) if rows else []
+                    now, rows = tile_, []
+                rows.append(row)
+            yield made(found)
+        yield made(list(tile(*zip(*rows, strict=True))) if rows else [])
+
+    return run
+
+
 def _tiles(similarity: float):
     """Links (a, b) between linked parts, of the rows (key, part, side, set) of each tile; rows come in order of the key."""
 
@@ -133,33 +204,50 @@ def _tiles(similarity: float):
     return run
 
 
+def _sets_of(numbered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set of the nodes (rows may repeat)."""
+    nodes = written(nodes.distinct(), "similar-asked")
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    return written(numbered.select(F.col("_row").alias("node"), "text").join(nodes, "node").mapInArrow(_sets, "node long, set binary"), "similar-sets")
+
+
+def _dealt(apart: DataFrame, what: str) -> DataFrame:
+    """The rows of bands in tiles, in order of the tile: on side 0 those outside a band's largest part, on side 1 all."""
+    zero = F.lit(0).cast("long")
+    every = lambda n: F.explode(F.sequence(zero, n - 1))
+    mine = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
+    u = apart.where("part <> main").select("key", "node", mine(F.col("us"), 1).alias("i"), every(F.col("vs")).alias("j"), "part", F.lit(0).alias("side"), what)
+    v = apart.select("key", "node", every(F.col("us")).alias("i"), mine(F.col("vs"), 2).alias("j"), "part", F.lit(1).alias("side"), what)
+    met = u.unionByName(v).select(F.xxhash64("key", "i", "j").alias("tile"), "key", "node", "part", "side", what)
+    return met.repartition("tile").sortWithinPartitions("tile")
+
+
 def links(numbered: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, room: int = ROOM, more: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all candidates of at least the similarity; more: further bands (node, key)."""
+    if "sketch" not in nodes.columns:
+        nodes = nodes.withColumn("sketch", F.expr("X''"))  # rules nothing out
     entries = nodes.select("node", F.explode("bands").alias("key"))
     entries = entries if more is None else entries.unionByName(more)
-    first = entries.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = written(entries.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "similar-star")
-    met = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    texts = numbered.select(F.col("_row").alias("node"), "text").join(met, "node")
-    sets = written(texts.mapInArrow(_sets, "node long, set binary"), "similar-sets")
-    of = lambda node, name: sets.select(F.col("node").alias(node), F.col("set").alias(name))
-    linked = written(star.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(_verified(similarity), "a long, b long"), "similar-linked")
-    # bands whose nodes are still apart: by node numbers, then with the sets of these alone
+    first = entries.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    star = entries.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    of = lambda what, node, name: what.select(F.col("node").alias(node), F.col(what.columns[1]).alias(name))
+    sketches = nodes.select("node", "sketch")
+    star = written(star.join(of(sketches, "a", "x"), "a").join(of(sketches, "b", "y"), "b").mapInArrow(_hoped(similarity), "a long, b long"), "similar-star")
+    sets = _sets_of(numbered, star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))))
+    linked = written(star.join(of(sets, "a", "x"), "a").join(of(sets, "b", "y"), "b").mapInArrow(_verified(similarity), "a long, b long"), "similar-linked")
+    # bands whose nodes are still apart, but for those of two nodes, which the star has compared: by node numbers, then with
+    # sketches, then with the sets of what these leave
     parts = components(linked).select("node", F.col("root").alias("part"))
-    held = entries.join(first.select("key"), "key").join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
+    held = entries.join(first.where("n > 2").select("key"), "key").join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
     held = written(held, "similar-bands")
     sizes = held.groupBy("key", "part").agg(F.count("*").alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     chunks = lambda n: F.ceil(n / room).cast("long")
     most = most.select("key", F.col("most.part").alias("main"), chunks(F.col("all") - F.col("most.n")).alias("us"), chunks(F.col("all")).alias("vs"))
-    apart = written(held.join(most, "key"), "similar-apart").join(sets, "node")
-    zero = F.lit(0).cast("long")
-    every = lambda n: F.explode(F.sequence(zero, n - 1))
-    mine = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
-    u = apart.where("part <> main").select("key", mine(F.col("us"), 1).alias("i"), every(F.col("vs")).alias("j"), "part", F.lit(0).alias("side"), "set")
-    v = apart.select("key", every(F.col("us")).alias("i"), mine(F.col("vs"), 2).alias("j"), "part", F.lit(1).alias("side"), "set")
-    met = u.unionByName(v).select(F.xxhash64("key", "i", "j").alias("key"), "part", "side", "set")
-    across = met.repartition("key").sortWithinPartitions("key").mapInArrow(_tiles(similarity), "a long, b long")
+    apart = written(held.join(most, "key"), "similar-apart")
+    left = written(_dealt(apart.join(sketches, "node"), "sketch").mapInArrow(_open(similarity), "key long, node long").distinct(), "similar-open")
+    sets = _sets_of(numbered, left.select("node"))
+    across = _dealt(apart.join(left, ["key", "node"]).join(sets, "node"), "set").withColumn("key", F.col("tile")).mapInArrow(_tiles(similarity), "a long, b long")
     return linked.unionByName(across)
 
 
@@ -178,12 +266,12 @@ def similar_dedup(df: DataFrame, similarity: float = SIMILARITY, room: int = ROO
     """One row of each component of df's near-duplicates, the first by doc_id, with df's columns."""
     small_batches(df.sparkSession)
     numbered = written(clashing(df, ["_row"]).withColumn("_row", F.monotonically_increasing_id()), "similar-rows")
-    rows = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "_row long, doc_id long, set_id binary, bands array<long>, fp long")
+    rows = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "_row long, doc_id long, set_id binary, bands array<long>, fp long, sketch binary")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    first = [F.min("rank").alias("rank"), F.first("bands").alias("bands")]
+    first = [F.min("rank").alias("rank"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")]
     entries = written(rows.withColumn("rank", rank).groupBy("set_id", "fp").agg(*first), "similar-entries")
     nodes = entries.groupBy("set_id").agg(*first)
-    nodes = written(nodes.select(F.col("rank._row").alias("node"), "set_id", "rank", "bands"), "similar-nodes")
+    nodes = written(nodes.select(F.col("rank._row").alias("node"), "set_id", "rank", "bands", "sketch"), "similar-nodes")
     held = fingerprint_bands(entries.select("set_id", "fp").join(nodes.select("set_id", "node"), "set_id").select("node", "fp")) if by_fingerprint else None
     group = components(links(numbered, nodes, similarity, room, held))
     group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())

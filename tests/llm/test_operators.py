@@ -854,3 +854,42 @@ def test_workers_keep_nothing_of_earlier_steps():
         list(step([texts] if step is similar._signed else []))
         gc.collect()
         assert not common._MADE
+
+
+def test_sketches_rule_out_no_pair():
+    """Sets of the similarity or more always pass, whatever their sizes; most others of some size don't."""
+    draw = np.random.default_rng(5)
+    passed = []
+    for n in (0, 1, 2, 9, 40, 333, 334, 2000, 40_000):
+        base = draw.integers(1 << 64, size=n, dtype=np.uint64)
+        for kept in (0.5, 0.8, 0.89, 0.9, 1.0):
+            other = np.unique(np.concatenate([base[: round(n * kept)], draw.integers(1 << 64, size=draw.integers(n - round(n * kept) + 1), dtype=np.uint64)]))
+            one = np.unique(base)
+            both = len(np.intersect1d(one, other))
+            alike = both >= 0.8 * (len(one) + len(other) - both) - 1e-9
+            x, y = (np.frombuffer(similar.sketch(s), np.uint8) for s in (one, other))
+            may = [bool(similar.may_be_alike(a, b[None], 0.8)[0]) for a, b in ((x, y), (y, x))]
+            assert may[0] == may[1] >= alike
+            if n > 300 and kept == 0.5:
+                passed.append(may[0])
+    assert not any(passed)
+    crowded = np.arange(5000, dtype=np.uint64)  # all have the same leading bits
+    assert similar.sketch(crowded) == b"" and similar.may_be_alike(np.zeros(0, np.uint8), np.zeros((1, 16), np.uint8), 0.8).all()
+
+
+def test_sets_cross_only_where_sketches_leave_a_pair(spark, monkeypatch):
+    """Texts that share a band but too little else are settled without their sets, in a band of two and in larger ones."""
+    base = [f"w{i}" for i in range(400)]
+    far = [" ".join([*base[: 300], *(f"{k}x{i}" for i in range(100))]) for k in range(4)]
+    near = [" ".join([*base, "end"]), " ".join([*base, "tail"])]
+    texts = dict(enumerate([" ".join(base), *far, *near], 1))
+    numbered = spark.createDataFrame(list(texts.items()), "_row long, text string")
+    shared = {1: [1, 2, 3], 2: [1, 2], 3: [2], 4: [2], 5: [2], 6: [3], 7: [3]}
+    held = [(i, shared[i], similar.sketch(similar.shingles(t))) for i, t in texts.items()]
+    nodes = spark.createDataFrame(held, "node long, bands array<long>, sketch binary")
+    asked, made = [], similar._sets_of
+    monkeypatch.setattr(similar, "_sets_of", lambda n, which: asked.append(sorted({r["node"] for r in which.collect()})) or made(n, which))
+    assert rows(similar.links(numbered, nodes).distinct(), "a", "b") == [(6, 1), (7, 1)]
+    assert asked == [[1, 6, 7], []]
+    plain = similar.links(numbered, nodes.drop("sketch")).distinct()
+    assert rows(plain, "a", "b") == [(6, 1), (7, 1)]
