@@ -380,29 +380,40 @@ class Encoder:
             self.again[came[came < at]] = True
         return numbers
 
-    def _new_words(self, words: pa.Array) -> None:
-        """Numbers words (each once, none of them numbered), each with what is before it, by the library."""
+    def _new_words(self, words: pa.Array) -> np.ndarray:
+        """The numbers that words (each once, none of them numbered) get, each with what is before it, by the library."""
         # words without white space at an end are encoded as one text, in which each begins where what is before it does
         lines = pc.starts_with(words, "\n")
         bare = pc.if_else(lines, pc.utf8_slice_codeunits(words, 1), words)
         joins = pc.and_(pc.not_equal(bare, ""), pc.equal(bare, pc.utf8_trim_whitespace(bare)))
-        listed = lambda mask: words.filter(mask).to_numpy(zero_copy_only=False).tolist()
-        alone = listed(pc.invert(joins))
-        for all_, begins_word, before in ((listed(pc.and_(joins, pc.invert(lines))), self.blank, " "), (listed(pc.and_(joins, lines)), self.line, "")):
-            for at in range(0, len(all_), 10_000):
-                part = all_[at : at + 10_000]
+        places = lambda mask: np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+        listed = lambda at: words.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+        out = np.empty(len(words), np.int64)
+
+        def numbered(part: list[str], at: np.ndarray, numbers: range) -> None:
+            self.word.update(zip(part, numbers, strict=True))
+            out[at] = np.arange(numbers.start, numbers.stop)
+
+        alone = [places(pc.invert(joins))]
+        for where, begins_word, before in ((places(pc.and_(joins, pc.invert(lines))), self.blank, " "), (places(pc.and_(joins, lines)), self.line, "")):
+            all_ = listed(where)
+            for i in range(0, len(all_), 10_000):
+                part, at = all_[i : i + 10_000], where[i : i + 10_000]
                 # many short texts cost the library less than a long one
-                texts = [before + before.join(part[i : i + 100]) for i in range(0, len(part), 100)]
+                texts = [before + before.join(part[j : j + 100]) for j in range(0, len(part), 100)]
                 found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-                ids = np.array([i for e in found for i in e.ids], np.uint32)
+                ids = np.array([t for e in found for t in e.ids], np.uint32)
                 begins = np.flatnonzero(begins_word[ids])
                 if len(begins) == len(part) and begins[0] == 0:
-                    self.word.update(zip(part, self._keep(ids, np.diff(begins, append=len(ids))), strict=True))
+                    numbered(part, at, self._keep(ids, np.diff(begins, append=len(ids))))
                 else:
-                    alone += part
-        for at in range(0, len(alone), 10_000):
-            part = alone[at : at + 10_000]
-            self.word.update(zip(part, self._alone([w if w[:1] == "\n" else " " + w for w in part]), strict=True))
+                    alone.append(at)
+        where = np.concatenate(alone)
+        all_ = listed(where)
+        for i in range(0, len(all_), 10_000):
+            part = all_[i : i + 10_000]
+            numbered(part, where[i : i + 10_000], self._alone([w if w[:1] == "\n" else " " + w for w in part]))
+        return out
 
     def _words(self, words: pa.Array) -> np.ndarray:
         """The numbers of words (each once), each with a blank before it."""
@@ -415,16 +426,22 @@ class Encoder:
             stems = pc.utf8_rtrim(words, characters=self.signs)
             cut = pc.and_(pc.not_equal(pc.binary_length(stems), pc.binary_length(words)), pc.match_substring_regex(stems, self._KNOWN_END))
             stems = pc.if_else(cut, stems, words).dictionary_encode()
-            new = self._numbered(stems.dictionary.to_numpy(zero_copy_only=False).tolist()) < 0
-            self._new_words(stems.dictionary.filter(pa.array(new)))
-            stem_names = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
-            found[missing] = self._numbered(stem_names)[stems.indices.to_numpy()]
-            if len(at := missing[cut.to_numpy(zero_copy_only=False)]):
+            is_cut, indices = cut.to_numpy(zero_copy_only=False), stems.indices.to_numpy()
+            # only stems of words that were cut may have a number: what stands whole was missing
+            numbers = np.full(len(stems.dictionary), -1, np.int64)
+            whole = np.zeros(len(numbers), bool)
+            whole[indices[~is_cut]] = True
+            ask = np.flatnonzero(~whole)
+            numbers[ask] = self._numbered(stems.dictionary.take(pa.array(ask)).to_numpy(zero_copy_only=False).tolist())
+            new = numbers < 0
+            numbers[new] = self._new_words(stems.dictionary.filter(pa.array(new)))
+            found[missing] = numbers[indices]
+            if len(at := missing[is_cut]):
                 sizes = pc.utf8_length(stems.cast(words.type).filter(cut)).to_numpy().tolist()
                 whole = [names[i] for i in at.tolist()]
                 ends = np.array(self._pieces([w[n:] for w, n in zip(whole, sizes, strict=True)]))
                 parts = np.stack([found[at], ends], axis=1)
-                ids = self.ids[_spread(self.begin[parts].ravel(), self.length[parts].ravel())]
+                ids = self.ids.take(_spread(self.begin.take(parts).ravel(), self.length.take(parts).ravel()))
                 numbers = self._keep(ids, self.length[parts].sum(axis=1))
                 self.word.update(zip(whole, numbers, strict=True))
                 found[at] = numbers
@@ -454,11 +471,11 @@ class Encoder:
         split = pc.split_pattern(pc.if_else(plain, pc.replace_substring(texts, "\n", " \n"), ""), " ")
         coded, edges = split.flatten().dictionary_encode(), split.offsets.to_numpy()
         indices = coded.indices.to_numpy()
-        numbers = self._words(coded.dictionary)[indices]
+        numbers = self._words(coded.dictionary).take(indices)
         # what begins a text has no blank before it; texts that aren't plain have one piece here, which isn't theirs
         numbers[edges[:-1]] = self._pieces(coded.dictionary.take(pa.array(indices[edges[:-1]])).to_pylist())
-        sizes = self.length[numbers]
-        ids = self.ids[_spread(self.begin[numbers], sizes)]
+        sizes = self.length.take(numbers)
+        ids = self.ids.take(_spread(self.begin.take(numbers), sizes))
         ends = np.concatenate([[0], np.cumsum(sizes)])[edges].tolist()
         out = [ids[a:b] for a, b in itertools.pairwise(ends)]
         for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
@@ -479,7 +496,9 @@ def _room(array: np.ndarray, n: int) -> np.ndarray:
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers begin, begin + 1, ... of each of the given sizes."""
     end = np.cumsum(size)
-    return np.repeat(begin - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)
+    out = np.repeat(begin - end + size, size)
+    out += np.arange(len(out))
+    return out
 
 
 @functools.lru_cache(2)

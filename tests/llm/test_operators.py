@@ -893,3 +893,15 @@ def test_sets_cross_only_where_sketches_leave_a_pair(spark, monkeypatch):
     assert asked == [[1, 6, 7], []]
     plain = similar.links(numbered, nodes.drop("sketch")).distinct()
     assert rows(plain, "a", "b") == [(6, 1), (7, 1)]
+
+
+def test_encoder_looks_words_up_once(monkeypatch):
+    """Of a text's words each is looked up once, and of words that end in signs their stems once more; ids are the library's."""
+    own, asked = tokenfile.Encoder(BYTES), []
+    look_up = own._numbered
+    monkeypatch.setattr(own, "_numbered", lambda names: asked.extend(names) or look_up(names))
+    texts = ["one two three, four! five\nsix seven. eight, two", "two, nine"]
+    for found, text in zip(own.encode(pa.array(texts)), texts, strict=True):
+        assert found.tolist() == own.library.encode(text, add_special_tokens=False).ids
+    words = {w for t in texts for w in t.replace("\n", " \n").split(" ")}
+    assert Counter(asked) == Counter(words) + Counter({"three", "four", "seven", "eight"})
