@@ -55,6 +55,7 @@ def written(df: DataFrame, what: str, with_path: bool = False, options: dict[str
     path = new_path(df.sparkSession, what)
     df.write.options(**(options or {})).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._quire_path = path
     return (back, path) if with_path else back
 
 
@@ -64,6 +65,12 @@ def deleted(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def over(*tables: DataFrame) -> None:
+    """Removes tables as written() returned them, once all that reads them is written itself."""
+    for t in tables:
+        deleted(t.sparkSession, t._quire_path)
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions to aim for where work is heavy and data are small: three for each core the cluster offers."""
     return max(8, 3 * spark.sparkContext.defaultParallelism)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ASCII_SPACE, clashing, let_go, small_batches, text_of, written
+from quire.llm.common import ASCII_SPACE, clashing, let_go, over, small_batches, text_of, written
 
 FLUSH_ROWS = 65_536
 FAN_IN = 4
@@ -142,11 +142,13 @@ def _groups(rows: DataFrame, flush_rows: int) -> DataFrame:
     shards = max(1, -(-runs.count() // SHARD_ROWS))
     merged = runs.repartition(shards, "key").mapInArrow(_indexed(flush_rows), _RUN)
     keep = F.when(F.col("null") == 0, F.col("doc"))
-    return written(merged.where("n > 1").select(F.col("key").alias("_key"), keep.alias("keep_id"), F.col("row").alias("_keep_row"), F.col("n").alias("group_size")), "exact-groups")
+    out = written(merged.where("n > 1").select(F.col("key").alias("_key"), keep.alias("keep_id"), F.col("row").alias("_keep_row"), F.col("n").alias("group_size")), "exact-groups")
+    over(runs)
+    return out
 
 
-def _may_hit(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows whose key a Bloom filter of the groups' keys may hold.
+def _may_hit(groups: DataFrame, key: str = "_key") -> Column:
+    """Whether a Bloom filter of the groups' keys may hold a row's key.
 
     The filter has 16 bits a key, up to FILTER_BYTES; beyond, it holds back fewer of the rows that hit nothing, and the join
     that follows drops the rest. It reaches the driver as bytes, in parts of at most a megabyte.
@@ -160,11 +162,11 @@ def _may_hit(rows: DataFrame, groups: DataFrame) -> DataFrame:
         held[at["at"].to_numpy()] = True
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
 
-    set_ = groups.select(F.explode(places(F.col("_key"))).alias("place")).distinct().select(F.floor(F.col("place") / part).alias("part"), (F.col("place") % part).alias("at"))
+    set_ = groups.select(F.explode(places(F.col(key))).alias("place")).distinct().select(F.floor(F.col("place") / part).alias("part"), (F.col("place") % part).alias("at"))
     held = np.zeros(bits // 8, np.uint8)
     for r in set_.groupBy("part").applyInArrow(packed, "part long, held binary").toLocalIterator():
         held[r["part"] * (part // 8) : (r["part"] + 1) * (part // 8)] = np.frombuffer(r["held"], np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast(held)
+    sent = groups.sparkSession.sparkContext.broadcast(held)
 
     @F.pandas_udf("boolean")
     def may_hold(at):  # type: ignore[no-untyped-def]
@@ -173,7 +175,13 @@ def _may_hit(rows: DataFrame, groups: DataFrame) -> DataFrame:
         at = np.stack(at.to_numpy()) if len(at) else np.zeros((0, 4), np.int64)
         return pd.Series((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool).all(axis=1))
 
-    return rows.where(may_hold(places(F.col("_key"))))
+    return may_hold(places(F.col(key)))
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is none of dropped's (a table in the shared folder): those that its Bloom filter does not hold stay where they are, and only the others are exchanged."""
+    hit = _may_hit(dropped, key)
+    return rows.where(~hit).unionByName(rows.where(hit).join(dropped.hint("merge"), key, "left_anti"))
 
 
 def _assigned(df: DataFrame, flush_rows: int, digest_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -184,11 +192,12 @@ def _assigned(df: DataFrame, flush_rows: int, digest_bytes: int) -> tuple[DataFr
     # merge joins at every size: what is exchanged is in proportion to the input, and a hot key can be split
     looked_up = rows.select("_row", "doc_id", "_sha", "_key").join(groups.hint("merge"), "_key", "left")
     # hits: the bytes decide
-    hits = written(_may_hit(rows.select("_row", "_key", normalised(text_of(rows)).alias("_bytes")), groups).join(groups.hint("merge"), "_key"), "exact-hits")
+    hits = written(rows.select("_row", "_key", normalised(text_of(rows)).alias("_bytes")).where(_may_hit(groups)).join(groups.hint("merge"), "_key"), "exact-hits")
     stays = hits.where(F.col("_row") == F.col("_keep_row")).select("_key", F.col("_bytes").alias("_kept_bytes"))
     others = hits.where(F.col("_row") != F.col("_keep_row")).select("_key", "_bytes")
     # nothing after the join asks for a key's rows to stay together, so a hot key's can be split
     false_hits = written(others.join(stays.hint("merge"), "_key").where("_bytes <> _kept_bytes").select("_key"), "exact-false").distinct()
+    over(hits)
     if not false_hits.isEmpty():
         # groups of rows whose keys are equal and whose bytes are not: by their bytes
         wrong = rows.join(false_hits, "_key", "left_semi").select("_key", "_row", "doc_id", "_cp", normalised(text_of(rows)).alias("_bytes"))
@@ -216,5 +225,5 @@ def exact_groups(df: DataFrame, flush_rows: int = FLUSH_ROWS, digest_bytes: int
 def exact_dedup(df: DataFrame, flush_rows: int = FLUSH_ROWS, digest_bytes: int = 32) -> DataFrame:
     """The rows of df that stay, with df's columns."""
     rows, assigned = _assigned(df, flush_rows, digest_bytes)
-    dropped = assigned.where(~F.col("kept")).select("_row")
-    return rows.join(dropped, "_row", "left_anti").select(*df.columns)
+    dropped = written(assigned.where(~F.col("kept")).select("_row"), "exact-dropped")
+    return without(rows, dropped, "_row").select(*df.columns)

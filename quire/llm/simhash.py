@@ -31,6 +31,8 @@ from quire.llm.common import clashing, cut, let_go, small_batches, written
 SEED = 42
 DISTANCE = 3
 GROUP = 20_000
+#: Edges of a task where components are read and written.
+EDGES = 100_000
 _ALL = (1 << 64) - 1
 
 
@@ -148,9 +150,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Minima are pre-aggregated and joined back, so the neighbours of a node are never held together.
     """
+    state = lambda of: tuple(of.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before = state(now)
     while True:
+        tasks = 1 + before[0] // EDGES  # a task for each partition costs files in each exchange, however few rows it has
+        now = now.coalesce(tasks)
         # large star: neighbours that are larger than a node hang on to the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -159,11 +164,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
         after = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(after)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == state:
+        now = cut(after.coalesce(tasks))
+        if before == (before := state(now)):
             break
-        before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import clashing, let_go, small_batches, written
+from quire.llm.common import clashing, let_go, over, small_batches, written
+from quire.llm.exact import without
 from quire.llm.simhash import components, fingerprint, near_pairs
 
 WORDS = 5
@@ -206,9 +207,11 @@ def _tiles(similarity: float):
 
 def _sets_of(numbered: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, set of the nodes (rows may repeat)."""
-    nodes = written(nodes.distinct(), "similar-asked")
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    return written(numbered.select(F.col("_row").alias("node"), "text").join(nodes, "node").mapInArrow(_sets, "node long, set binary"), "similar-sets")
+    asked = written(nodes.distinct(), "similar-asked")
+    nodes = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    sets = written(numbered.select(F.col("_row").alias("node"), "text").join(nodes, "node").mapInArrow(_sets, "node long, set binary"), "similar-sets")
+    over(asked)
+    return sets
 
 
 def _dealt(apart: DataFrame, what: str) -> DataFrame:
@@ -229,17 +232,20 @@ def links(numbered: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY,
     entries = nodes.select("node", F.explode("bands").alias("key"))
     entries = entries if more is None else entries.unionByName(more)
     first = entries.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    star = entries.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    shared = written(entries.join(first, "key"), "similar-shared")
+    star = shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     of = lambda what, node, name: what.select(F.col("node").alias(node), F.col(what.columns[1]).alias(name))
     sketches = nodes.select("node", "sketch")
     star = written(star.join(of(sketches, "a", "x"), "a").join(of(sketches, "b", "y"), "b").mapInArrow(_hoped(similarity), "a long, b long"), "similar-star")
     sets = _sets_of(numbered, star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))))
     linked = written(star.join(of(sets, "a", "x"), "a").join(of(sets, "b", "y"), "b").mapInArrow(_verified(similarity), "a long, b long"), "similar-linked")
+    over(star, sets)
     # bands whose nodes are still apart, but for those of two nodes, which the star has compared: by node numbers, then with
     # sketches, then with the sets of what these leave
     parts = components(linked).select("node", F.col("root").alias("part"))
-    held = entries.join(first.where("n > 2").select("key"), "key").join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
+    held = shared.where("n > 2").join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part"))
     held = written(held, "similar-bands")
+    over(shared)
     sizes = held.groupBy("key", "part").agg(F.count("*").alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     chunks = lambda n: F.ceil(n / room).cast("long")
@@ -248,7 +254,9 @@ def links(numbered: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY,
     left = written(_dealt(apart.join(sketches, "node"), "sketch").mapInArrow(_open(similarity), "key long, node long").distinct(), "similar-open")
     sets = _sets_of(numbered, left.select("node"))
     across = _dealt(apart.join(left, ["key", "node"]).join(sets, "node"), "set").withColumn("key", F.col("tile")).mapInArrow(_tiles(similarity), "a long, b long")
-    return linked.unionByName(across)
+    edges = written(linked.unionByName(across), "similar-edges")
+    over(linked, held, apart, left, sets)
+    return edges
 
 
 def fingerprint_bands(held: DataFrame) -> DataFrame:
@@ -269,11 +277,15 @@ def similar_dedup(df: DataFrame, similarity: float = SIMILARITY, room: int = ROO
     rows = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "_row long, doc_id long, set_id binary, bands array<long>, fp long, sketch binary")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     first = [F.min("rank").alias("rank"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")]
-    entries = written(rows.withColumn("rank", rank).groupBy("set_id", "fp").agg(*first), "similar-entries")
-    nodes = entries.groupBy("set_id").agg(*first)
+    signed = written(rows.withColumn("rank", rank), "similar-signed")
+    nodes = signed.groupBy("set_id").agg(*first)
     nodes = written(nodes.select(F.col("rank._row").alias("node"), "set_id", "rank", "bands", "sketch"), "similar-nodes")
-    held = fingerprint_bands(entries.select("set_id", "fp").join(nodes.select("set_id", "node"), "set_id").select("node", "fp")) if by_fingerprint else None
-    group = components(links(numbered, nodes, similarity, room, held))
+    held = fingerprint_bands(signed.select("set_id", "fp").distinct().join(nodes.select("set_id", "node"), "set_id").select("node", "fp")) if by_fingerprint else None
+    over(signed)
+    edges = links(numbered, nodes, similarity, room, held)
+    group = components(edges)
     group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
     stays = nodes.select("node", "rank").join(group, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("rank").alias("rank"))
-    return numbered.join(stays.select(F.col("rank._row").alias("_row")), "_row", "left_semi").select(*df.columns)
+    dropped = written(numbered.select("_row").join(stays.select(F.col("rank._row").alias("_row")), "_row", "left_anti"), "similar-dropped")
+    over(nodes, edges)
+    return without(numbered, dropped, "_row").select(*df.columns)

@@ -834,6 +834,28 @@ def test_fingerprints_propose_near_duplicates(spark, monkeypatch):
     assert len(asked) == 1
 
 
+@pytest.mark.parametrize("name, remain", [("exact_duplicates", {"exact", "exact-groups", "exact-false", "exact-dropped"}), ("near_duplicates", {"similar-rows", "similar-fingerprints", "similar-dropped"})])
+def test_disk_of_the_pipeline(spark, tmp_path, monkeypatch, name, remain):
+    """Texts that stay are not exchanged, and of the tables that a stage makes only those remain that its result is read from."""
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"{x:08x}" for x in draw.integers(1 << 32, size=2000)) for _ in range(150)]
+    texts += [texts[0], f"{texts[1]} end"]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3).write.parquet(f"file://{tmp_path}/in")
+    context = spark.sparkContext._jsc.sc()
+    monkeypatch.setattr("quire.llm.common.shared_dir", lambda _: f"file://{tmp_path}/shared")
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).head().totalShuffleWrite()
+
+    had = shuffled()
+    kept = [r["doc_id"] for r in dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"file://{tmp_path}/in"), "").select("doc_id", "text").collect()]
+    had = shuffled() - had
+    assert sorted(kept) == list(range(150)) + ([151] if name == "exact_duplicates" else [])
+    assert had < 0.5 * sum(map(len, texts))
+    assert {re.sub("-[0-9a-f]{32}$", "", p.name) for p in (tmp_path / "shared").iterdir() if re.search("-[0-9a-f]{32}$", p.name)} == remain
+
+
 def test_workers_keep_nothing_of_earlier_steps():
     """A worker goes on from step to step: a tokenizer goes when a model comes, and either when near-duplicates or exact ones are sought."""
     import gc
