@@ -67,6 +67,48 @@ def test_copies_of_boxes_and_points(spark):
     assert {r["widget"] for r in model.find_widget(named.where("ord = 4"), named.where("ord <> 4").withColumn("name", F.lit(""))).collect()} == {3}
 
 
+def exchanged(spark, df):
+    """The rows that all exchanges of a run of df write."""
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = context.statusStore().stageList(None, False, False, none, None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for stage, n in written().items() if stage not in before)
+
+
+def test_lines_of_equal_cells_are_exchanged_once(spark):
+    """A page of 300 lines in 300 cells of one outline has 90,000 rows, of which none crosses the network."""
+    lines = spark.range(300).selectExpr("1L AS doc_id", "0 AS page_no", "id AS ord", "20D + id % 7 AS x0", "20D AS y0", "30D AS x1", "30D AS y1")
+    cells = spark.range(300).selectExpr("1L AS doc_id", "0 AS page_no", "id AS ord", "0D AS x0", "0D AS y0", "50D AS x1", "50D AS y1")
+    rows = relate.in_cells(lines, cells)
+    assert rows.count() == 90_000
+    assert exchanged(spark, rows) < 3_000
+
+
+def test_cells_of_equal_and_shared_ords(spark):
+    """Boxes that share their ord are one cell, as in the SQL, and equal to others only by all of them; lines of one height and edge go by ord."""
+    shape = "doc_id long, page_no int, ord long, x0 double, y0 double, x1 double, y1 double"
+    small, large, far = (0.0, 0.0, 20.0, 20.0), (0.0, 0.0, 200.0, 200.0), (100.0, 100.0, 140.0, 140.0)
+    cells = [(1, 0, 2, *small), (1, 0, 2, *far), (1, 0, 3, *small), (1, 0, 4, *large), (1, 0, 5, *far), (1, 0, 5, *small), (1, 0, 6, *large), (1, 0, 6, *large), (1, 0, 7, *small), (1, 1, 3, *small), (1, 1, 4, *small), (1, 0, None, *small), (1, 0, 9, None, 0.0, 20.0, 20.0)]
+    lines = [(1, page, n, x, y, x + w, y + 4.0) for page in (0, 1) for n, (x, y, w) in enumerate([(2.0, 2.0, 8.0), (2.0, 2.04, 40.0), (2.0, 2.0, 4.0), (110.0, 110.0, 5.0), (1.0, 2.0, 5.0), (110.0, 2.0, 5.0)], 10)]
+    db = duckdb.connect()
+    for name, rows in (("a", lines), ("b", cells)):
+        db.execute(f"CREATE TABLE {name} (doc_id BIGINT, page_no INT, ord BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?, ?, ?, ?, ?, ?)", rows)
+    wanted = db.sql("""
+WITH m AS (SELECT a.doc_id, a.page_no, b.ord AS cell, a.ord AS line, round_even(a.y0, 1) AS y, a.x0 AS x FROM a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no
+  AND (a.x0 + a.x1) / 2 BETWEEN b.x0 - 1 AND b.x1 + 1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 - 1 AND b.y1 + 1)
+SELECT doc_id, page_no, cell, line, CAST(row_number() OVER (PARTITION BY doc_id, page_no, cell ORDER BY y, x, line) - 1 AS INTEGER) AS place FROM m""")
+    found = relate.in_cells(spark.createDataFrame(lines, shape), spark.createDataFrame(cells, shape)).select(*wanted.columns)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted.fetchall()))
+
+
 @pytest.mark.parametrize("name", ["e5_comparison_marks", "c17_character_maps"])
 def test_exploded_words_and_codes_are_never_broadcast(spark, folder, name):
     assert "Broadcast" not in QUERIES[name](spark, str(folder))._jdf.queryExecution().toString()
